@@ -103,17 +103,14 @@ def upper_bound(rejected: int, n: int, level: float) -> float:
 
 def thresholds(known: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """known (stratum, measures and q: 1 good, else bad) -> stratum and a cutoff for each rule (infinite: none holds)."""
-    one = values()
+
+    def cell(rule: str, v: Column) -> Column:
+        """The number of candidate cutoffs that v isn't above."""
+        grid = F.array(*(F.lit(float(x)) for x in GRID[rule]))
+        return F.struct(F.lit(rule).alias("rule"), F.size(F.filter(grid, lambda x: v <= x)).alias("cell"))
+
     # How many rows lie in each cell between two candidate cutoffs: rules x cells rows a stratum.
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(rule).alias("rule"),
-                F.size(F.filter(F.array(*(F.lit(float(x)) for x in GRID[rule])), lambda x, v=v: v <= x)).alias("cell"),
-            )
-            for rule, v in one.items()
-        )
-    )
+    cells = F.array(*(cell(rule, v) for rule, v in values().items()))
     counted = known.select("stratum", (F.col("q") == 1).alias("good"), F.explode(cells).alias("c"))
     counted = counted.groupBy("stratum", "good", "c.rule", "c.cell").count()
     counted = written(counted, "cells")
