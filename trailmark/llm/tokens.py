@@ -1,19 +1,22 @@
 """Token ids of whole texts through a public ``tokenizers`` file, as little-endian unsigned 32-bit buffers.
 
 Both vocabularies cut a text before an ASCII space that follows a word, so the piece between two such spaces has the
-same ids wherever it stands.  Pieces are looked up in a bounded table per Python worker; pieces not seen yet are
-encoded together, a line each.  Texts where the cut isn't certain (runs of white space) are encoded whole.
+same ids wherever it stands.  Pieces are looked up in a bounded table per Python worker; words not seen yet are
+encoded many in one text.  Texts where the cut isn't certain (runs of white space) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterator
 
 import numpy as np
 
+#: ASCII marks but the apostrophe, which begins contractions.
+MARKS = string.punctuation.replace("'", "")
 #: Pieces that a worker remembers; further ones are encoded for each batch anew.
-REMEMBERED = 900_000
+REMEMBERED = 1_400_000
 _workers: dict[tuple[str, str], PieceEncoder] = {}
 
 
@@ -32,69 +35,94 @@ class PieceEncoder:
     def __init__(self, path: str, spaced: bool):
         self.tokenizer, self.spaced = tokenizer(path), spaced
         self.known: dict[str, bytes] = {}
-        self.line = self.ids("\n") if spaced else b""
+        self.tails: dict[str, bytes] = {}
+        # ids that begin a word after a space, or that end a word
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.edge[[i for t, i in tokens.items() if (t[0] == "\u0120" if spaced else t.endswith("</w>"))]] = True
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str], table: dict[str, bytes]) -> None:
-        lead = " " if self.spaced else ""
-        if not self.spaced:
-            for k in range(0, len(pieces), 512):
-                part = pieces[k : k + 512]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    table[p] = np.array(e.ids, "<u4").tobytes()
-            return
-        plain = []
-        for p in pieces:
-            if p.split() == [p]:
-                plain.append(p)
-            else:  # white space within
-                table[p] = self.ids(lead + p)
-        cut = int.from_bytes(self.line, "little")
-        for k in range(0, len(plain), 256):
-            part = plain[k : k + 256]
-            text = "\n".join([lead + p for p in part])
-            (e,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+    def _stem(self, piece: str) -> str:
+        """The letters before a run of ASCII marks, which are apart in any case; in lower case where case is dropped."""
+        stem = piece.rstrip(MARKS)
+        return stem.lower() if not self.spaced and stem.isascii() else stem
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > REMEMBERED // 8:
+                self.tails.clear()
+            self.tails[tail] = self.ids(tail)
+        return self.tails[tail]
+
+    def _words(self, words: list[str], table: dict[str, bytes]) -> None:
+        """Of words of letters only, many in one text; ids part where a word begins or ends."""
+        for k in range(0, len(words), 256):
+            part = words[k : k + 256]
+            (e,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(ids == cut)
-            if len(ends) != len(part) - 1:
-                for p in part:
-                    table[p] = self.ids(lead + p)
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(part):
+                for w in part:
+                    table[w] = self.ids(f" {w}")
                 continue
+            ends = [*edges[1:].tolist(), len(ids)] if self.spaced else (edges + 1).tolist()
             buf, at = ids.tobytes(), 0
-            for p, end in zip(part, [*ends.tolist(), len(ids)], strict=True):
-                table[p] = buf[4 * at : 4 * end]
-                at = end + 1
+            for w, end in zip(part, ends, strict=True):
+                table[w] = buf[4 * at : 4 * end]
+                at = end
+
+    def _learn(self, pieces: list[str], table: dict[str, bytes]) -> None:
+        known = self.known
+        lines = {p: p.split("\n") for p in pieces if "\n" in p}
+        lines = {p: own for p, own in lines.items() if all(x.split() == [x] for x in own)}
+        if lines:  # a single line feed between words is apart from both
+            first = {x for own in lines.values() for x in (own[:1] if self.spaced else own)}
+            self._learn([x for x in first if x not in known and x not in table], table)
+            for p, own in lines.items():
+                if self.spaced:
+                    parts = [self._tail("\n") + self._tail(x) for x in own[1:]]
+                    own = own[:1]
+                else:
+                    parts = []
+                table[p] = b"".join([known[x] if x in known else table[x] for x in own] + parts)
+            pieces = [p for p in pieces if p not in lines]
+        stems = {p: s for p in pieces if (s := self._stem(p)).isalpha()}
+        self._words([s for s in dict.fromkeys(stems.values()) if s not in known and s not in table], table)
+        for p in pieces:
+            if p not in stems:
+                table[p] = self.ids(f" {p}")
+            elif p not in table:
+                s = stems[p]
+                tail = p[len(s) :]
+                own = known[s] if s in known else table[s]
+                table[p] = own + self._tail(tail) if tail else own
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
-        split, need = [], {}
         known = self.known
+        heads, rests = [], []
         for text in texts:
             pieces = text.split(" ")
-            first = pieces[0]
-            rest = pieces[1:] if self.spaced else pieces
-            new = [p for p in rest if p not in known]
-            if self.spaced and (any(not p or p[-1].isspace() for p in new) or (first and first[-1].isspace())):
-                split.append(text)  # white space before a space
-                continue
-            need.update(dict.fromkeys(new))
-            split.append((first, rest))
+            heads.append(pieces.pop(0) if self.spaced else "")
+            rests.append(pieces)
+        need = set().union(*rests).difference(known)
+        # A space after white space isn't a cut in a vocabulary that keeps it: such texts are encoded whole.
+        odd = {p for p in need if not p or p[-1].isspace()} if self.spaced else set()
         over: dict[str, bytes] = {}
         if need:
-            table = known if len(known) + len(need) <= REMEMBERED else over
-            self._learn(list(need), table)
-        for x in split:
-            if isinstance(x, str):
-                yield self.ids(x)
+            room = len(known) + 2 * len(need) <= REMEMBERED
+            self._learn([p for p in need if p not in odd], known if room else over)
+        for text, head, rest in zip(texts, heads, rests, strict=True):
+            if self.spaced and ((head and head[-1].isspace()) or (odd and not odd.isdisjoint(rest))):
+                yield self.ids(text)
                 continue
-            first, rest = x
-            head = self.ids(first) if self.spaced and first else b""
+            first = self.ids(head) if head else b""
             try:
-                yield head + b"".join(map(known.__getitem__, rest))
+                yield first + b"".join(map(known.__getitem__, rest))
             except KeyError:
-                yield head + b"".join([known[p] if p in known else over[p] for p in rest])
+                yield first + b"".join([known[p] if p in known else over[p] for p in rest])
 
 
 def encoder(path: str, spaced: bool) -> PieceEncoder:

@@ -25,11 +25,7 @@ from .tokens import encoder, text_batches
 MAGIC, STEP = b"TWM1", 512
 HEAD = struct.Struct("<4sBQQ")
 #: Tokens of a shard; a longer document has a shard to itself.
-SHARD = 1 << 20
-
-
-def _part(cur: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return np.concatenate([cur[~bit], cur[bit]])
+SHARD = 1 << 18
 
 
 def shard_bytes(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, bits: int) -> bytes:
@@ -37,7 +33,7 @@ def shard_bytes(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, bits: in
     cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     out = [HEAD.pack(MAGIC, bits, len(ids), len(doc_ids)), doc_ids.astype("<i8").tobytes(), ends.astype("<u8").tobytes()]
     for level in range(bits - 1, -1, -1):
-        bit = (cur >> level & 1).astype(bool)
+        bit = (cur & cur.dtype.type(1 << level)).astype(bool)
         packed = np.packbits(bit, bitorder="little")
         counts = np.bitwise_count(np.pad(packed, (0, -len(packed) % (STEP // 8)))).reshape(-1, STEP // 8).sum(1, np.uint64)
         total = int(counts.sum())
@@ -46,7 +42,8 @@ def shard_bytes(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, bits: in
             packed.tobytes(),
             (np.cumsum(counts) - counts).astype("<u8").tobytes(),
         ]
-        cur = _part(cur, bit)
+        if total:
+            cur = np.concatenate([cur.take(np.flatnonzero(~bit)), cur.take(np.flatnonzero(bit))])
     return b"".join(out)
 
 
@@ -136,10 +133,12 @@ class WaveletMatrix:
         cur = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             zeros, packed, _ = self.planes[level]
-            bit = np.unpackbits(packed, count=self.n, bitorder="little").astype(bool)
+            if zeros == self.n:
+                continue
+            bit = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(cur)
-            up[~bit] = cur[:zeros]
-            up[bit] = cur[zeros:] | cur.dtype.type(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~bit)] = cur[:zeros]
+            up[np.flatnonzero(bit)] = cur[zeros:] | cur.dtype.type(1 << (self.bits - 1 - level))
             cur = up
         return cur
 
