@@ -113,7 +113,7 @@ ORACLES: dict[str, str] = {
     """,
     "op8_substring_dedup": r"""
         WITH d AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
             FROM documents),
         g AS (
             SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h
@@ -125,7 +125,7 @@ ORACLES: dict[str, str] = {
         k AS (
             SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS n_gone,
                    CASE WHEN ps IS NULL THEN w
-                        ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), p -> NOT list_contains(ps, p))), p -> w[p])
+                        ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p))), lambda p: w[p])
                    END AS kept
             FROM d LEFT JOIN r USING (doc_id))
         SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_gone AS BIGINT) AS n_removed,
