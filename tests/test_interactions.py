@@ -19,7 +19,7 @@ MIN = 60_000_000
 
 
 def log(spark, rows):
-    return spark.createDataFrame([(v, i, t, k, "view", w) for k, (v, i, t, w) in enumerate(rows)], LOG)
+    return spark.createDataFrame([(v, i, t, k, "view", float(w)) for k, (v, i, t, w) in enumerate(rows)], LOG)
 
 
 def test_settings_are_checked():
