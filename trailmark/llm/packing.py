@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_rows, public_id, written
-from .tokens import encoder, text_batches
+from .tokens import REMEMBERED, encoder, text_batches
 
 CAPACITY = 4096
 #: The LP's lengths are rounded up to multiples of capacity / UNITS; rounding back uses the true lengths.
@@ -192,12 +192,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, remembered: int = REMEMBERED
+) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every document, its end id included."""
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(vocabulary, spaced=False)
+        tokens = encoder(vocabulary, False, remembered)
         for batch in batches:
             for ids, texts in text_batches(batch):
                 rows = []
@@ -216,13 +218,15 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     return doc_rows(docs).mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, remembered: int = REMEMBERED
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document.
 
     Null and empty texts are one id (the end id).  Repeated rows are packed as often as they stand.  Only documents
-    of more than ``capacity`` ids are cut.  The ids themselves come from ``token_pieces``.
+    of more than ``capacity`` ids are cut.  remembered: pieces that a worker keeps in memory.  The ids themselves come from ``token_pieces``.
     """
-    pieces = token_pieces(docs, vocabulary, end_id, capacity).select(
+    pieces = token_pieces(docs, vocabulary, end_id, capacity, remembered).select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
     return pack(written(pieces, "pieces"), capacity).withColumn("doc_id", public_id())

@@ -17,7 +17,7 @@ import numpy as np
 MARKS = string.punctuation.replace("'", "")
 #: Pieces that a worker remembers; further ones are encoded for each batch anew.
 REMEMBERED = 1_400_000
-_workers: dict[tuple[str, str], PieceEncoder] = {}
+_workers: dict[tuple, PieceEncoder] = {}
 
 
 def tokenizer(path: str):
@@ -32,8 +32,8 @@ def tokenizer(path: str):
 class PieceEncoder:
     """spaced: the vocabulary keeps white space (a piece's leading space belongs to it); else white space is dropped."""
 
-    def __init__(self, path: str, spaced: bool):
-        self.tokenizer, self.spaced = tokenizer(path), spaced
+    def __init__(self, path: str, spaced: bool, remembered: int = REMEMBERED):
+        self.tokenizer, self.spaced, self.remembered = tokenizer(path), spaced, remembered
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         # ids that begin a word after a space, or that end a word
@@ -51,7 +51,7 @@ class PieceEncoder:
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
-            if len(self.tails) > REMEMBERED // 8:
+            if len(self.tails) > self.remembered // 8:
                 self.tails.clear()
             self.tails[tail] = self.ids(tail)
         return self.tails[tail]
@@ -112,7 +112,7 @@ class PieceEncoder:
         odd = {p for p in need if not p or p[-1].isspace()} if self.spaced else set()
         over: dict[str, bytes] = {}
         if need:
-            room = len(known) + 2 * len(need) <= REMEMBERED
+            room = len(known) + 2 * len(need) <= self.remembered
             self._learn([p for p in need if p not in odd], known if room else over)
         for text, head, rest in zip(texts, heads, rests, strict=True):
             if self.spaced and ((head and head[-1].isspace()) or (odd and not odd.isdisjoint(rest))):
@@ -125,12 +125,13 @@ class PieceEncoder:
                 yield first + b"".join([known[p] if p in known else over[p] for p in rest])
 
 
-def encoder(path: str, spaced: bool) -> PieceEncoder:
+def encoder(path: str, spaced: bool, remembered: int = REMEMBERED) -> PieceEncoder:
     """The worker's own; it stays for later tasks."""
-    if (path, spaced) not in _workers:
+    key = path, spaced, remembered
+    if key not in _workers:
         _workers.clear()
-        _workers[path, spaced] = PieceEncoder(path, spaced)
-    return _workers[path, spaced]
+        _workers[key] = PieceEncoder(*key)
+    return _workers[key]
 
 
 def text_batches(batch, most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:

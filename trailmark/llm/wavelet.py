@@ -151,7 +151,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, bits: int, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, seq = encoder(vocabulary, spaced=True), TaskContext.get().partitionId(), 0
+        tokens, part, seq = encoder(vocabulary, True), TaskContext.get().partitionId(), 0
         own: list[tuple[int, bytes]] = []
         size = 0
 
