@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from trailmark.llm import exact, packing, rules, simhash, suffix
 from trailmark.llm.common import NULL_ID, read, written
 
+#: Pieces that a Python worker remembers while it encodes: workers go on to other stages with what they hold.
+REMEMBERED = 200_000
+
 
 def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows of ``docs`` that ``decided`` (doc_id, rk) has."""
@@ -71,7 +74,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [
