@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from .common import doc_rows
 from .tokens import text_batches
 
-REMEMBERED = 400_000
+#: Pieces that a Python worker keeps in memory while it encodes.
+REMEMBERED = 900_000
 
 
 def byte_characters() -> list[str]:
@@ -77,6 +78,7 @@ class BytePairs:
         self.match = regex.compile(pattern).findall
         self.table = {b: c for b, c in enumerate(byte_characters())}
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def pre_tokens(self, tokens: list[str]) -> list[list[int]]:
         """The ids of each pre-token.  As in the rank file's own library, a whole entry is its own id."""
@@ -86,30 +88,55 @@ class BytePairs:
         rank = self.ranks.get
         return [[r] if (r := rank(b)) is not None else [i - 1 for i in ids] for b, ids in zip(raw, out, strict=True)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        tokens = [self.match(p) for p in pieces]
-        flat = iter(self.pre_tokens([t for ts in tokens for t in ts]))
-        for p, ts in zip(pieces, tokens, strict=True):
-            self.known[p] = np.array([i for _ in ts for i in next(flat)], "<u4").tobytes()
+    def _packed(self, tokens: list[str]) -> dict[str, bytes]:
+        return {t: np.array(ids, "<u4").tobytes() for t, ids in zip(tokens, self.pre_tokens(tokens), strict=True)}
+
+    def whole(self, text: str) -> bytes:
+        tokens = self.match(text)
+        own = self._packed(list(dict.fromkeys(tokens)))
+        return b"".join([own[t] for t in tokens])
+
+    def _learn(self, pieces: list[str], table: dict[str, bytes]) -> None:
+        """Pieces (a space goes before each) by their pre-tokens, each distinct one encoded once."""
+        known, marks = self.known, self.marks
+        cut = {p: self.match(f" {p}") for p in pieces}
+        lacking = {t for ts in cut.values() for t in ts if t not in marks and not (t[0] == " " and t[1:] in known)}
+        own = self._packed(list(lacking))
+        if len(marks) > REMEMBERED // 8:
+            marks.clear()
+        for t, ids in own.items():
+            if t[0] == " ":
+                table[t[1:]] = ids
+            else:
+                marks[t] = ids
+
+        def ids_of(t: str) -> bytes:
+            return own[t] if t in own else marks[t] if t in marks else known[t[1:]]
+
+        for p, ts in cut.items():
+            if len(ts) > 1:
+                table[p] = b"".join([ids_of(t) if t in own or t in marks or t[1:] in known else self.whole(t) for t in ts])
+            elif p not in table:
+                table[p] = ids_of(ts[0])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids.  A match never goes on over a space after a word, so texts are cut there."""
-        cut = [[p if k == 0 else f" {p}" for k, p in enumerate(t.split(" "))] for t in texts]
-        need: dict[str, None] = {}
-        for k, pieces in enumerate(cut):
-            new = [p for p in pieces if p not in self.known]
-            if any(p and (p[-1].isspace()) for p in pieces[:-1]) or pieces[-1] == " ":
-                pieces = cut[k] = [texts[k]]  # white space before a space: the text whole
-                new = pieces
-            need.update(dict.fromkeys(new))
-        self._learn(list(need))
-        return [b"".join([self.known[p] if p in self.known else self._one(p) for p in pieces]) for pieces in cut]
-
-    def _one(self, piece: str) -> bytes:
-        self._learn([piece])
-        return self.known[piece]
+        known = self.known
+        rests = [t.split(" ") for t in texts]
+        heads = [r.pop(0) for r in rests]
+        need = set().union(*rests).difference(known) if rests else set()
+        odd = {p for p in need if not p or p[-1].isspace()}  # white space before a space: the text whole
+        over: dict[str, bytes] = {}
+        if need:
+            self._learn([p for p in need if p not in odd], known if len(known) + 2 * len(need) <= REMEMBERED else over)
+        out = []
+        for text, head, rest in zip(texts, heads, rests, strict=True):
+            if (head and head[-1].isspace()) or (odd and not odd.isdisjoint(rest)):
+                out.append(self.whole(text))
+            else:
+                first = self.whole(head) if head else b""
+                out.append(first + b"".join([known[p] if p in known else over[p] for p in rest]))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         table = self.bytes_of
@@ -141,7 +168,10 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = byte_pairs(path, pattern)
         for b in batches:
-            decoded = pa.array([own.decode(x) for x in b.column("ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), decoded], names=["doc_id", "ids", "decoded"])
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                decoded = pa.array([own.decode(x.as_py()) for x in part.column("ids")], pa.binary())
+                cols = [part.column("doc_id"), part.column("ids"), decoded]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"])
 
     return encoded.mapInArrow(decode, "doc_id long, ids binary, decoded binary")

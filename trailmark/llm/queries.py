@@ -31,9 +31,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(x, "<u4").tolist() for x in b.column("ids").to_pylist()]
-            shas = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
-            cols = [b.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(shas, pa.string()), b.column("decoded")]
+            sizes, shas = [], []
+            for x in b.column("ids"):
+                ids = np.frombuffer(x.as_buffer() or b"", "<u4").tolist()
+                sizes.append(len(ids))
+                shas.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            cols = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), b.column("decoded")]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
 
     out = decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
