@@ -6,9 +6,8 @@ ORACLES has DuckDB SQL where SQL can say the same at a bearable cost; the others
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +26,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe.decode_documents(bpe.encode_documents(read(spark, sf_dir, "documents"), *own), *own)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, shas = [], []
-            for x in b.column("ids"):
-                ids = np.frombuffer(x.as_buffer() or b"", "<u4").tolist()
-                sizes.append(len(ids))
-                shas.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-            cols = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), b.column("decoded")]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
-
-    out = decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
-    return out.select(
-        public_id().alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+
+    def digest(pairs: bpe.BytePairs, batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, shas, backs = [], [], []
+        for ids, decoded in zip(batch.column("ids").to_pylist(), batch.column("decoded").to_pylist(), strict=True):
+            sizes.append(len(ids) // 4)
+            shas.append(hashlib.sha256(pairs.decimals(ids)).hexdigest())
+            backs.append(hashlib.sha256(decoded).hexdigest())
+        cols = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    out = bpe.round_trip(read(spark, sf_dir, "documents"), *own, digest, schema)
+    return out.withColumn("doc_id", public_id())
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
