@@ -171,6 +171,26 @@ def test_byte_pairs_equal_the_rank_library(text):
     assert own.decode(got) == text.encode()
 
 
+def test_byte_pairs_after_other_white_space():
+    import tiktoken
+
+    own = bpe.BytePairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for text in ("x \tfoo", "x \t\tfoo", "a   b", "a \t b", "a \t\t b", "it's 1st! ", "\u02bc don't", "naïve,... x²"):
+        ids = ref.encode_ordinary(text)
+        (got,) = own.encode([text])
+        assert np.frombuffer(got, "<u4").tolist() == ids, text
+        assert own.decimals(got).decode() == " ".join(map(str, ids))
+
+
+def test_bpe_in_one_step_equals_two(spark, texts):
+    own = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = make(spark, [*texts, *ODD])
+    one = bpe.round_trip(docs, *own, lambda _, batch: batch, "doc_id long, ids binary, decoded binary")
+    two = bpe.decode_documents(bpe.encode_documents(docs, *own), *own)
+    assert rows(one, "doc_id", "ids", "decoded") == rows(two, "doc_id", "ids", "decoded")
+
+
 def test_bpe_round_trip(spark, texts):
     own = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     got = bpe.decode_documents(bpe.encode_documents(make(spark, [*texts, *ODD]), *own), *own).collect()

@@ -73,7 +73,7 @@ class BytePairs:
         import regex
         import sentencepiece
 
-        ranks = read_ranks(path)
+        self.ranks = ranks = read_ranks(path)
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks must run from 0 without gaps")
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
