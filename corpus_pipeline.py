@@ -47,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays."""
     found = simhash.similar_documents(docs)
     own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("rk"))
-    first = found.groupBy("component_id").agg(F.min(own).alias("first")).select("first.*")
+    first = found.groupBy("component").agg(F.min(own).alias("first")).select("first.*")
     return _rows(_keep(docs, written(first, "first")))
 
 

@@ -122,6 +122,18 @@ def test_similar_documents(spark):
         assert rows(found, "doc_id", "component_id") == {(0, 0), (1, 0), (2, 2)}
 
 
+def test_unrelated_texts_of_null_or_one_id_stay_apart(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 5000)}" for _ in range(300)) for _ in range(4))
+    df = spark.createDataFrame([(None, a), (None, b), (5, c), (5, d), (1, c + " x")], "doc_id long, text string")
+    assert rows(p.near_dedup(spark, df, ""), "doc_id", "text") == {(None, a), (None, b), (5, d), (1, c + " x")}
+    found = simhash.near_duplicates(df)
+    assert found.select("component").distinct().count() == 4
+    assert sorted(map(str, (r["component_id"] for r in found.collect()))) == ["1", "1", "5", "None", "None"]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(7, 7), (90, 99)], "u long, v long")
     assert rows(components.components(edges), "u", "component") == {(k, 0) for k in range(1, 41)} | {(99, 90)}

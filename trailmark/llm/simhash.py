@@ -192,21 +192,30 @@ def links(classes: DataFrame, prints: list[str], given: list[tuple[int, str, int
     return out
 
 
+def _named(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes (..., rep, least), links found (u, v) of rep -> classes with component (the least rep) and component_id, the
+    least id of the component.  rep names a class and nothing else; ids may be null or repeated."""
+    whole = components(found)
+    own = classes.join(whole, classes["rep"] == whole["u"], "left").drop("u")
+    own = own.withColumn("component", F.coalesce("component", "rep"))
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    return own.drop("least").join(least, "component")
+
+
 def _grouped(found: DataFrame, given: list[tuple[int, str, int]], bar: int, radius: int, most: int) -> DataFrame:
     prints = [c for c in found.columns if c.startswith("fp")]
     found = written(found, "fingerprints")
-    classes = written(found.groupBy(*prints).agg(F.min("doc_id").alias("rep")), "classes")
-    whole = components(links(classes, prints, given, bar, radius, most))
-    named = classes.join(whole, classes["rep"] == whole["u"], "left").select(
-        *prints, F.coalesce("component", "rep").alias("component_id")
-    )
+    classes = found.groupBy(*prints).agg(F.min("doc_id").alias("least"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    named = _named(classes, links(classes, prints, given, bar, radius, most))
     return found.join(named, prints).select(
-        public_id().alias("doc_id"), "rk", *prints, public_id("component_id").alias("component_id")
+        public_id().alias("doc_id"), "rk", *prints, "component", public_id("component_id").alias("component_id")
     )
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """doc_id, rk, fp0 and component_id of every row of ``docs``: the least doc_id reachable over links within ``radius`` bits.
+    """doc_id, rk, fp0, component and component_id of every row of ``docs``.  component names what links within ``radius``
+    bits connect; component_id is the least doc_id in it, which others may have too where ids are null or repeated.
 
     Null, empty and blank texts have fingerprint 0 and are linked like others.  A text of fewer words than a shingle is one
     shingle.  Repeated rows come back as often as they stand; a null id is larger than any.
@@ -225,7 +234,7 @@ def bar_of(similarity: float, bits: int) -> int:
 def similar_documents(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, prints: int = PRINTS, radius: int = RADIUS, block: int = BLOCK
 ) -> DataFrame:
-    """doc_id, rk, fp0, ... and component_id: groups linked by an estimated shingle similarity of ``similarity`` or more.
+    """doc_id, rk, fp0, ..., component and component_id: groups linked by an estimated shingle similarity of ``similarity`` or more.
 
     Nulls, empty texts and repeated rows are treated as by near_duplicates.
     """
