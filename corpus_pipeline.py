@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import exact, packing, rules, simhash, suffix
+from trailmark.llm import exact, overlap, packing, rules, suffix
 from trailmark.llm.common import NULL_ID, read, written
 
 #: Pieces that a Python worker remembers while it encodes: workers go on to other stages with what they hold.
@@ -45,7 +45,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays."""
-    found = simhash.similar_documents(docs)
+    found = overlap.similar_documents(docs)
     own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("rk"))
     first = found.groupBy("component").agg(F.min(own).alias("first")).select("first.*")
     return _rows(_keep(docs, written(first, "first")))

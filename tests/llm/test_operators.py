@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from trailmark.llm import bpe, components, exact, packing, quality, rlz, rules, simhash, suffix, toxicity, wavelet
+from trailmark.llm import bpe, components, exact, overlap, packing, quality, rlz, rules, simhash, suffix, toxicity, wavelet
 from trailmark.llm.tokens import PieceEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -122,6 +122,39 @@ def test_similar_documents(spark):
         assert rows(found, "doc_id", "component_id") == {(0, 0), (1, 0), (2, 2)}
 
 
+@pytest.mark.parametrize("block, often", [(20_000, 4), (3, 1)])
+def test_similar_documents_equal_brute_force(spark, monkeypatch, block, often):
+    """Pairs on both sides of 0.8 and at it, groups around a shared passage, short, repeated and blank texts."""
+    monkeypatch.setattr(overlap, "OFTEN", often)
+    monkeypatch.setattr(overlap, "SAMPLED", 2)
+    monkeypatch.setattr(overlap, "PAIRS", 2)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    texts = []
+    for k in range(60):
+        base = [word() for _ in range(rng.choice([9, 40, 120, 300]))]
+        other = list(base)
+        for i in rng.sample(range(len(base)), max(1, round(len(base) * (0.01 + 0.0006 * k)))):
+            other[i] = word()
+        texts += [" ".join(base), " ".join(other)]
+    shared = [word() for _ in range(200)]
+    texts += [" ".join([*shared, *(word() for _ in range(n))]) for n in [0, 10, 20, 35, 45, 49, 50, 51, 60, 70, 90] * 2]
+    texts += ["a a a a a a a a a a b", "a a a a a a a a a a c", "", " ", None, "x", "X ", " ".join(shared[:25]), " ".join(shared[:24]), " ".join(shared[:29])]
+    sets = [set(overlap.shingle_set(t or "").tolist()) for t in texts]
+    root = list(range(len(texts)))
+    at_bar = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            at_bar += 5 * both == 4 * len(sets[a] | sets[b])
+            if 5 * both >= 4 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert at_bar
+    found = overlap.similar_documents(make(spark, texts), block=block)
+    assert rows(found, "doc_id", "component_id") == set(enumerate(root))
+
+
 def test_unrelated_texts_of_null_or_one_id_stay_apart(spark):
     import corpus_pipeline as p
 

@@ -1,0 +1,251 @@
+"""Near duplicates by the exact Jaccard similarity of shingle sets: no pair at the bar is missed, none below it is linked.
+
+The shingles of all texts have one order, rare ones first.  Two sets of similarity s share an element among the first
+n - ceil(s n) + 1 of each, so pairs that meet under none of these can't be similar.  Pairs that meet are held against
+bounds by size and place, then against one by parities (each element flips one of a set's PARITIES bits, so sets differ
+in as many elements as bits at least), then their whole sets are compared.  The order decides only how many pairs meet.
+
+Pairs aren't all compared: first every text with the first likely one of those that begin its buckets; then the pairs
+of a bucket whose texts aren't connected yet.  What remains is connected already, so components are those of all similar pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import doc_rows, public_id, written
+from .components import components
+from .simhash import _named, shingle_hashes
+
+SIMILARITY, SHINGLE = 0.8, 5
+#: Rows of a bucket that one task takes at once, and pairs with one text that one task compares.
+BLOCK, PAIRS = 20_000, 4096
+PARITIES = 2048
+#: The order is made of one text in SAMPLED: shingles that stand in OFTEN of these, the COMMON most frequent at most.
+SAMPLED, OFTEN, COMMON = 16, 4, 2**17
+
+
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes in ascending order; texts without words have one and the same."""
+    h = np.unique(shingle_hashes(text, shingle))
+    return h if len(h) else np.zeros(1, np.uint64)
+
+
+def prefix_length(n: int, bar: Fraction) -> int:
+    return n - -(-n * bar.numerator // bar.denominator) + 1
+
+
+def may_reach(na, pa_, nb, pb, bar: Fraction) -> np.ndarray:
+    """Whether sets of these sizes with a common element at these places can be similar enough."""
+    num, den = bar.numerator, bar.denominator
+    most = np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb)
+    return (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (num * (na + nb) <= most * (num + den))
+
+
+def similar(a: np.ndarray, b: np.ndarray, bar: Fraction) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * bar.denominator >= bar.numerator * (len(a) + len(b) - both)
+
+
+def parities(own: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
+def _common(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Frequent shingles, the most frequent last."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, shingle).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets or [np.empty(0, np.int64)]))], names=["key"])
+
+    some = rows.where(F.pmod("rk", F.lit(SAMPLED)) == 0).select("text").mapInArrow(each, "key long")
+    often = some.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COMMON)
+    return often.select("key").toArrow().column("key").to_numpy()[::-1].copy()
+
+
+def _prefixes(rows: DataFrame, shingle: int, bar: Fraction) -> DataFrame:
+    """doc_id, rk, n (the size of the set), bits (its parities) and prefix (the first of its shingles)."""
+    common = _common(rows, shingle).view(np.uint64)
+    by_hash = np.argsort(common)
+    hashes, places = common[by_hash], by_hash + 1
+
+    def prefix(own: np.ndarray) -> np.ndarray:
+        want = prefix_length(len(own), bar)
+        if not len(hashes):
+            return own[:want]
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        place = np.where(hashes[at] == own, places[at], 0)
+        return own[np.argsort(place, kind="stable")[:want]]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
+            firsts = [prefix(x).view(np.int64) for x in sets]
+            ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
+            sizes = pa.array(np.array([len(x) for x in sets], np.int64))
+            bits = pa.array([parities(x) for x in sets], pa.binary())
+            cols = [b.column("doc_id"), b.column("rk"), sizes, bits, lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rk", "n", "bits", "prefix"])
+
+    return rows.mapInArrow(each, "doc_id long, rk long, n long, bits binary, prefix array<long>")
+
+
+def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in b.columns]
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
+def _stars(rows: DataFrame, bar: Fraction) -> DataFrame:
+    """Pairs (u, v) of every row with the first of its key."""
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, rep, n, pos = (np.concatenate(x) for x in zip(last, _columns(b))) if last else _columns(b)
+            new = np.append(True, key[1:] != key[:-1])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            good = ~new & may_reach(n, pos, n[first], pos[first], bar)
+            yield _pairs(rep[good], rep[first[good]])
+            last = [x[first[-1] : first[-1] + 1] for x in (key, rep, n, pos)]
+
+    dealt = rows.select("key", "rep", "n", "pos").repartition("key").sortWithinPartitions("key", "rep")
+    return dealt.mapInArrow(star, "u long, v long").distinct()
+
+
+def _open(rows: DataFrame, bar: Fraction, block: int) -> DataFrame:
+    """Pairs (u, v) that meet under a key and aren't in one component; keys of more than ``block`` rows in blocks two by two."""
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give(key, a, b, rep, n, pos, comp) -> Iterator[pa.RecordBatch]:
+            new = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            begins, ends = np.append(0, new), np.append(new, len(key))
+            mixed = np.minimum.reduceat(comp, begins) < np.maximum.reduceat(comp, begins)
+            u, v, held = [], [], 0
+            for s, e in zip(begins[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                for i in range(s, e - 1):
+                    rest = slice(i + 1, e)
+                    good = (comp[rest] != comp[i]) & may_reach(n[rest], pos[rest], n[i], pos[i], bar)
+                    found = rep[rest][good]
+                    if len(found):
+                        u.append(np.full(len(found), rep[i]))
+                        v.append(found)
+                        held += len(found)
+                    if held > 1_000_000:
+                        yield _pairs(np.concatenate(u), np.concatenate(v))
+                        u, v, held = [], [], 0
+            if u:
+                yield _pairs(np.concatenate(u), np.concatenate(v))
+
+        kept: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = _columns(batch)
+            kept.append(own)
+            other = np.flatnonzero((own[0] != own[0][-1]) | (own[1] != own[1][-1]) | (own[2] != own[2][-1]))
+            if len(other):  # the last bucket may go on
+                cut = other[-1] + 1
+                yield from give(*(np.concatenate([*before, x[:cut]]) for *before, x in zip(*kept)))
+                kept = [[x[cut:] for x in own]]
+        if kept:
+            yield from give(*(np.concatenate(x) for x in zip(*kept)))
+
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), (F.min("comp") < F.max("comp")).alias("mixed"))
+    mixed = written(counts.where("mixed").select("key", (F.col("count") / block + 1).cast("int").alias("blocks")), "mixed")
+    two = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
+    two = two.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    two = two.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    dealt = two.select("key", "a", "b", "rep", "n", "pos", "comp").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return dealt.mapInArrow(across, "u long, v long").distinct()
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, bar: Fraction) -> DataFrame:
+    """The pairs (u, v) whose parities differ in no more bits than similar sets can differ in elements."""
+    num, den = bar.numerator, bar.denominator
+
+    def bits(c: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                differ = np.bitwise_count(bits(b.column("bu")) ^ bits(b.column("bv"))).sum(1, np.int64)
+                both = b.column("nu").to_numpy() + b.column("nv").to_numpy()
+                yield b.select(["u", "v"]).filter(pa.array(differ * (num + den) <= both * (den - num)))
+
+    rows = pairs
+    for c in ("v", "u"):
+        rows = rows.join(classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")), c)
+    return rows.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(near, "u long, v long")
+
+
+def _linked(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], bar: Fraction) -> DataFrame:
+    """The pairs (u, v) whose sets are similar.  The sets of a text that many are compared with are dealt out."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
+            good = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), bar) for x, y in both], pa.bool_())
+            yield b.select(["u", "v"]).filter(good)
+
+    pairs = written(pairs, "pairs")
+    own = sets(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
+    hubs = pairs.groupBy("u").count().where(F.col("count") > PAIRS)
+    hubs = written(hubs.select("u", (F.col("count") / PAIRS + 1).cast("int").alias("parts")), "hubs")
+    dealt = pairs.join(F.broadcast(hubs), "u", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
+    first = own.select(F.col("rep").alias("u"), F.col("own").alias("a")).join(F.broadcast(hubs), "u", "left")
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    second = own.select(F.col("rep").alias("v"), F.col("own").alias("b"))
+    rows = dealt.join(second, "v").join(first, ["u", "part"])
+    return written(rows.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "links")
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """doc_id, rk (a hash of the text), component and component_id of every row: groups linked by a shingle similarity of
+    ``similarity`` or more.
+
+    A text of fewer words than a shingle is one shingle; null, empty and blank texts are equal.  Repeated rows come back as
+    often as they stand.  component names a group; component_id is the least doc_id in it, a null id being larger than any.
+    """
+    bar = Fraction(str(similarity))
+    texts = doc_rows(docs).withColumn("rk", F.xxhash64("text"))
+    found = written(_prefixes(texts, shingle, bar), "prefixes")
+    classes = found.groupBy("rk").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "bits", "prefix")).alias("own"))
+    classes = classes.select("rk", "least", "own.*", F.monotonically_increasing_id().alias("rep"))
+    classes = written(classes, "classes")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = pa.array([shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("rep"), own], names=["rep", "own"])
+
+    def sets(reps: DataFrame) -> DataFrame:
+        wanted = texts.join(written(classes.select("rk", "rep").join(reps, "rep", "left_semi"), "wanted"), "rk")
+        return written(wanted.select("rep", "text").mapInArrow(hashed, "rep long, own binary").dropDuplicates(["rep"]), "sets")
+
+    rows = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long"))
+    tried = written(_likely(_stars(rows, bar), classes, bar).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "stars")
+    links = _linked(tried, sets, bar)
+    whole = written(components(links), "whole")
+    linked = classes.join(whole, classes["rep"] == whole["u"], "left").withColumn("comp", F.coalesce("component", "rep"))
+    rows = linked.select("rep", "n", "comp", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long"))
+    more = _likely(_open(rows, bar, block).join(tried, ["u", "v"], "left_anti"), classes, bar)
+    more = _linked(more, sets, bar)
+    named = _named(classes.select("rk", "rep", "least"), links.unionByName(more))
+    return found.select("doc_id", "rk").join(named, "rk").select(
+        public_id().alias("doc_id"), "rk", "component", public_id("component_id").alias("component_id")
+    )

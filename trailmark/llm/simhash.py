@@ -4,19 +4,13 @@ Each bit of a fingerprint gets a non-zero vector of radius + 1 bits; for every n
 whose vector has an odd product with v.  The vectors of at most ``radius`` differing bits leave some v orthogonal
 to them all, and under its mask the two fingerprints are equal: no pair within the radius is missed.
 
-``near_duplicates`` links by the bits of one 64-bit fingerprint.  ``similar_documents`` links by shingle similarity: several
-independent fingerprints are covered (on ``KEY_BITS`` of their bits, so that similar texts meet often enough), and pairs
-that meet are linked if all their bits together put the similarity at the bar or above.
-
 Fingerprints are made distinct first.  Within a bucket only links that span its linked sets are given, never all
-pairs.  Buckets of more than ``most`` fingerprints are dealt out again, without loss: for one fingerprint, its free bits
-are cut into radius + 3 parts, of which three at least don't differ, so the pair meets again under three equal
-parts; for several, blocks of the bucket meet two by two.
+pairs.  Buckets of more than ``most`` fingerprints are dealt out again, without loss: the free bits are cut into
+radius + 3 parts, of which three at least don't differ, so the pair meets again under three equal parts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,9 +25,6 @@ from .components import components
 
 BITS, RADIUS, SHINGLE = 64, 3, 3
 MOST = 4096
-#: For similar_documents: fingerprints, the bits of each that tables look at, and fingerprints of a block.
-PRINTS, KEY_BITS, BLOCK = 4, 40, 20_000
-_odd = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -83,31 +74,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def several(text: str, shingle: int, prints: int) -> list[int]:
-    h = shingle_hashes(text, shingle)
-    out = []
-    for k in range(prints):
-        g = h * _odd[k]
-        g ^= g >> np.uint64(31)
-        g *= _odd[k + 8]
-        out.append(majority(g ^ (g >> np.uint64(29))))
-    return out
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, prints: int = 0) -> DataFrame:
-    """doc_id, rk (a hash of the text) and fp0 (, fp1, ...).  prints 0: the fingerprint of the shingles' own hashes."""
-    names = [f"fp{k}" for k in range(max(1, prints))]
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, rk (a hash of the text) and fp0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            found = [several(t, shingle, prints) if prints else [fingerprint(t, shingle)] for t in texts]
-            own = np.array(found, np.uint64).reshape(-1, len(names)).view(np.int64)
-            cols = [b.column("doc_id"), b.column("rk"), *(pa.array(own[:, k]) for k in range(len(names)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rk", *names])
+            own = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(own)], names=["doc_id", "rk", "fp0"])
 
     rows = doc_rows(docs).withColumn("rk", F.xxhash64("text"))
-    return rows.mapInArrow(each, "doc_id long, rk long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(each, "doc_id long, rk long, fp0 long")
 
 
 def spanning(fps: np.ndarray, bar: int) -> np.ndarray:
@@ -179,12 +155,6 @@ def links(classes: DataFrame, prints: list[str], given: list[tuple[int, str, int
         return _spanned(rows, ["t", "m"], prints, bar)
     out = _spanned(rows.join(large, ["t", "m"], "left_anti"), ["t", "m"], prints, bar)
     again = written(rows.join(large, ["t", "m"]), "again")
-    if len(prints) > 1:
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        two = again.withColumn("own", own).withColumn("other", other)
-        two = two.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-        return out.unionByName(_spanned(two, ["t", "m", "a", "b"], prints, bar))
     for t, p, m in given:
         sub = submasks(m, radius)
         part = _dealt(again.where(F.col("t") == t), prints, [(t * len(sub) + k, p, x) for k, x in enumerate(sub)])
@@ -224,23 +194,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return _grouped(fingerprints(docs, shingle), given, radius, radius, most)
 
 
-def bar_of(similarity: float, bits: int) -> int:
-    """Differing bits that texts of this shingle (Jaccard) similarity have on average, and a standard deviation more."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = math.acos(cosine) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
-
-
-def similar_documents(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, prints: int = PRINTS, radius: int = RADIUS, block: int = BLOCK
-) -> DataFrame:
-    """doc_id, rk, fp0, ..., component and component_id: groups linked by an estimated shingle similarity of ``similarity`` or more.
+def hex_print(c: str | Column) -> Column:
+    return F.lower(F.lpad(F.hex(c), 16, "0"))
 
-    Nulls, empty texts and repeated rows are treated as by near_duplicates.
-    """
-    given = [(t, f"fp{k}", m) for t, (k, m) in enumerate((k, m) for k in range(prints) for m in masks(radius, KEY_BITS))]
-    return _grouped(fingerprints(docs, shingle, prints), given, bar_of(similarity, BITS * prints), radius, block)
 
+def similar_documents(docs: DataFrame, **given) -> DataFrame:
+    """Groups by the exact similarity of shingle sets, which fingerprints only estimate: see overlap."""
+    from .overlap import similar_documents as exactly
 
-def hex_print(c: str | Column) -> Column:
-    return F.lower(F.lpad(F.hex(c), 16, "0"))
+    return exactly(docs, **given)
