@@ -10,9 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import exact, overlap, packing, rules, suffix
-from trailmark.llm.common import NULL_ID, read, written
+from trailmark.llm import exact, packing, rules, similar, suffix
+from trailmark.llm.common import NULL_ID, read, scratch, written
 
+#: Bytes of a repeated string that suffix dedup looks for, and words of a run that goes: passages of 50 words and more, which
+#: are 200 bytes long but for one in a hundred.  Shorter repeats are common phrases.
+WINDOW, GRAM, WORDS = 200, 32, 50
 #: Pieces that a Python worker remembers while it encodes: workers go on to other stages with what they hold.
 REMEMBERED = 200_000
 
@@ -45,16 +48,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays."""
-    found = overlap.similar_documents(docs)
+    found = similar.similar_documents(docs)
     own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("rk"))
     first = found.groupBy("component").agg(F.min(own).alias("first")).select("first.*")
     return _rows(_keep(docs, written(first, "first")))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the strings of 400 bytes that stand elsewhere too; characters cut at an edge go; empty texts stay."""
+    """Texts lose the runs of WORDS words or more in which each string of WINDOW bytes stands elsewhere too; characters
+    cut at an edge go; empty texts stay."""
     rest = F.struct(*(docs[c] for c in docs.columns if c != "text"))
-    cut = suffix.dedup_substrings(docs, carry=rest)
+    cut = suffix.dedup_substrings(docs, WINDOW, GRAM, carry=rest, least_words=WORDS)
 
     def text_of(batches):
         import pyarrow as pa
@@ -88,11 +92,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage{k}", keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Block naming, SimHash, string removal and packing are beyond SQL: tests/llm hold the pipeline against brute force.

@@ -8,10 +8,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from trailmark.llm import bpe, components, exact, overlap, packing, quality, rlz, rules, simhash, suffix, toxicity, wavelet
+from trailmark.llm import bpe, components, exact, packing, quality, rlz, rules, similar, simhash, suffix, toxicity, wavelet
 from trailmark.llm.tokens import PieceEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -52,8 +53,6 @@ def test_exact(spark, texts, block):
 
 
 def test_exact_with_clashing_hashes(spark, texts, monkeypatch):
-    from pyspark.sql import functions as F
-
     real = F.xxhash64
     monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(5)))
     got = rows(exact.exact_groups(make(spark, texts[:40]), 64), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -68,8 +67,6 @@ def test_exact_keeps_one_of_repeated_rows(spark):
 
 @pytest.mark.parametrize("most", [20_000, 2])
 def test_suffix(spark, texts, most):
-    from pyspark.sql import functions as F
-
     got = suffix.dedup_substrings(make(spark, texts), most=most).withColumn("sha", F.sha2("kept", 256))
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "sha") == brute.suffix(list(enumerate(texts)))
 
@@ -82,15 +79,13 @@ def test_suffix_cuts_long_texts(spark, texts, monkeypatch):
     whole = [tuple(map(int, r)) for cols in anchors.runs_of(units, parts) for r in zip(*cols)]
     monkeypatch.setattr(anchors, "BUFFER", 1024)
     cut = [tuple(map(int, r)) for cols in anchors.runs_of(units, parts) for r in zip(*cols)]
-    windows = lambda found: {(p, i + k, i + rel) for p, i, n, rel, _, _ in found for k in range(n)}
+    windows = lambda found: {(p, i + k, i + rel) for p, i, n, rel, *_ in found for k in range(n)}
     assert {(p, a) for p, _, a in windows(whole)} == {(p, a) for p, _, a in windows(cut)}
     assert windows(whole) == windows(cut)
 
 
 @pytest.mark.parametrize("most", [20_000, 2])
 def test_passages(spark, texts, most):
-    from pyspark.sql import functions as F
-
     got = rlz.dedup_passages(make(spark, texts), most=most).withColumn("sha", F.sha2(F.col("kept").cast("binary"), 256))
     assert rows(got, "doc_id", "n_words", "n_removed", "sha") == brute.passages(list(enumerate(texts)))
 
@@ -118,16 +113,15 @@ def test_similar_documents(spark):
     near = [*base[:300], "other", *base[301:]]
     far = [f"w{rng.randint(0, 5000)}" for _ in range(600)]
     for block in (20_000, 1):
-        found = simhash.similar_documents(make(spark, [" ".join(x) for x in (base, near, far)]), block=block)
+        found = similar.similar_documents(make(spark, [" ".join(x) for x in (base, near, far)]), block=block)
         assert rows(found, "doc_id", "component_id") == {(0, 0), (1, 0), (2, 2)}
 
 
-@pytest.mark.parametrize("block, often", [(20_000, 4), (3, 1)])
-def test_similar_documents_equal_brute_force(spark, monkeypatch, block, often):
-    """Pairs on both sides of 0.8 and at it, groups around a shared passage, short, repeated and blank texts."""
-    monkeypatch.setattr(overlap, "OFTEN", often)
-    monkeypatch.setattr(overlap, "SAMPLED", 2)
-    monkeypatch.setattr(overlap, "PAIRS", 2)
+@pytest.mark.parametrize("block, often", [(20_000, 10), (3, 1)])
+def test_similar_documents_against_brute_force(spark, monkeypatch, block, often):
+    """Pairs on both sides of 0.8, crowded groups around a shared passage, short, repeated and blank texts."""
+    for name, value in (("OFTEN", often), ("PAIRS", 2), ("SMALL", 4), ("CROWDED", 1)):
+        monkeypatch.setattr(similar, name, value)
     rng = random.Random(12)
     word = lambda: f"w{rng.randint(0, 10**6)}"
     texts = []
@@ -140,19 +134,51 @@ def test_similar_documents_equal_brute_force(spark, monkeypatch, block, often):
     shared = [word() for _ in range(200)]
     texts += [" ".join([*shared, *(word() for _ in range(n))]) for n in [0, 10, 20, 35, 45, 49, 50, 51, 60, 70, 90] * 2]
     texts += ["a a a a a a a a a a b", "a a a a a a a a a a c", "", " ", None, "x", "X ", " ".join(shared[:25]), " ".join(shared[:24]), " ".join(shared[:29])]
-    sets = [set(overlap.shingle_set(t or "").tolist()) for t in texts]
+    sets = [set(similar.shingle_set(t or "").tolist()) for t in texts]
     root = list(range(len(texts)))
-    at_bar = 0
+    pairs = []
     for a in range(len(texts)):
         for b in range(a):
-            both = len(sets[a] & sets[b])
-            at_bar += 5 * both == 4 * len(sets[a] | sets[b])
-            if 5 * both >= 4 * len(sets[a] | sets[b]):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                pairs.append((a, b))
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
-    assert at_bar
-    found = overlap.similar_documents(make(spark, texts), block=block)
-    assert rows(found, "doc_id", "component_id") == set(enumerate(root))
+    found = similar.similar_documents(make(spark, texts), block=block)
+    got = dict(rows(found, "doc_id", "component_id"))
+    assert len(got) == len(texts)
+    assert all(root[k] == root[c] for k, c in got.items())  # nothing below the bar is linked
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+
+
+def pairs_at(similarity, n, size=396, seed=5):
+    """n pairs of texts of ``size`` five-word shingles each, of just this similarity."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        base = [f"w{rng.randint(0, 10**9)}" for _ in range(size + 4)]
+        differ = round(size * (1 - similarity) / (1 + similarity))
+        out += [" ".join(base), " ".join([*base[: len(base) - differ], *(f"v{rng.randint(0, 10**9)}" for _ in range(differ))])]
+    return out
+
+
+def test_near_pairs_at_the_bar_are_found(spark):
+    """README gives these figures: 400 pairs at 0.8, and as many just under it."""
+    texts = pairs_at(0.8, 400) + pairs_at(0.794, 400, seed=6)
+    sets = [set(similar.shingle_set(t).tolist()) for t in texts]
+    bars = [5 * len(sets[k] & sets[k + 1]) >= 4 * len(sets[k] | sets[k + 1]) for k in range(0, 1600, 2)]
+    assert bars == [True] * 400 + [False] * 400
+    got = dict(rows(similar.similar_documents(make(spark, texts)), "doc_id", "component_id"))
+    linked = [got[k] == got[k + 1] for k in range(0, 1600, 2)]
+    print("linked at 0.8:", sum(linked[:400]), "under it:", sum(linked[400:]))
+    assert sum(linked[:400]) >= 0.97 * 400 and not any(linked[400:])
+
+
+def test_near_pairs_keep_their_chance_at_any_size():
+    for n in (1, 10**3, 10**6, 10**9, 10**12):
+        bits, count = similar.words(n)
+        assert 28 <= bits <= 64
+        assert n / 2 ** (bits * 8 / 15) < 300 or bits == 64
+    assert similar.words(10**5) == (28, 6)
 
 
 def test_unrelated_texts_of_null_or_one_id_stay_apart(spark):
@@ -181,10 +207,54 @@ def test_measures(spark, texts):
     assert not got.where("kept = base_failed").count()  # without labels there are no cutoffs
 
 
-def test_binomial_bound():
-    assert rules.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100))
-    assert rules.upper_bound(3, 50, 0.05) == pytest.approx(0.1478, abs=1e-3)
-    assert rules.upper_bound(5, 5, 0.05) == 1
+def test_binomial_tail_and_bound():
+    from math import comb
+
+    for n, p in ((1, 0.5), (40, 0.02), (300, 0.02), (217, 0.3)):
+        for k in range(0, n + 1, max(1, n // 7)):
+            exact_ = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+            assert rules.binomial_tail(k, n, p) == pytest.approx(exact_, rel=1e-9, abs=1e-300)
+    assert not rules.holds(0, 216, 0.02, 0.0125) and rules.holds(0, 217, 0.02, 0.0125)
+    assert not rules.holds(0, 0, 0.02, 0.05)
+    assert rules.holds(19_000, 1_000_000, 0.02, 1e-6) and not rules.holds(20_000, 1_000_000, 0.02, 0.05)
+
+
+def test_cutoffs_bound_the_joint_loss_on_unseen_rows(spark, monkeypatch):
+    """Every rule would reject some good rows: together they may cost RISK in each stratum, measured on rows not labelled."""
+    monkeypatch.setattr(rules, "COST", 2)  # the risk alone ends the path
+    rng = np.random.default_rng(4)
+    n = 24_000
+    good, known = rng.random(n) < 0.85, rng.random(n) < 0.5
+    noisy = [np.where(good, rng.random(n) ** 60, rng.random(n) ** 0.3) for _ in range(3)]
+    cols = zip(range(n), np.where(rng.random(n) < 0.5, "en", "de").tolist(), *((1000 * x).astype(int).tolist() for x in noisy), good.tolist(), known.tolist())
+    df = spark.createDataFrame(list(cols), "doc_id long, stratum string, n_symbols long, n_dup_lines long, n_repeat_words long, good boolean, known boolean")
+    df = df.withColumns({"n_words": F.lit(1000), "n_lines": F.lit(1000), "word_chars": F.lit(5000), "q": F.col("good").cast("int")})
+    cut = rules.thresholds(df.where("known")).collect()
+    assert {r["stratum"] for r in cut} == {"en", "de"} and all(min(r[k] for k in rules.GRID) < 1 for r in cut)
+    for r in cut:
+        over = F.lit(False)
+        for rule, v in rules.values().items():
+            over = over | (v > F.lit(r[rule]))
+        unseen = df.where(~F.col("known") & (F.col("stratum") == r["stratum"])).groupBy("good").agg(F.avg(over.cast("int")).alias("gone"))
+        gone = {x["good"]: x["gone"] for x in unseen.collect()}
+        assert 0 < gone[True] <= rules.RISK and gone[False] > 0.3
+
+
+def test_kept_equals_brute_force(spark):
+    """Cutoffs come from the operator; what they keep is decided here again from the texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = rules.judge(docs, labels)
+    known = judged.where("not base_failed").join(labels.select("doc_id", F.col("quality").alias("q")), "doc_id")
+    cut = {r["stratum"]: r for r in rules.thresholds(known).collect()}
+    want = {}
+    for r in docs.collect():
+        n, chars, symbols, lines, dup, repeat = rules.measure(r["text"] or "")
+        failed = n < 50 or 100 * repeat > 50 * n
+        own = cut.get(r["lang"] or "")
+        v = {"symbols": symbols / max(1, chars), "lines": dup / max(1, lines), "repeats": repeat / max(1, n), "length": chars / max(1, n)}
+        want[r["doc_id"]] = not failed and not (own and any(v[k] > own[k] for k in rules.GRID))
+    assert dict(rows(judged, "doc_id", "kept")) == want and any(np.isfinite(c[k]) for c in cut.values() for k in rules.GRID)
 
 
 def test_cutoffs_reject_the_bad_and_keep_the_good(spark):
@@ -196,12 +266,15 @@ def test_cutoffs_reject_the_bad_and_keep_the_good(spark):
     assert rows(got.where("kept"), "doc_id") == {(k,) for k in range(900)}
 
 
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y z", "z <|endoftext|>", "<|endoftext|> z", "<|startoftext|> A <|STARTOFTEXT|>", "a  <|startoftext|>\n\n b", "<|endoftext|", "one <|endof text|>"]
+
+
 def test_tokens_equal_the_library():
     for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        own = PieceEncoder(public_tokenizers.path(name), spaced, 50)
-        texts = [*ODD, *(t or "" for t in corpus(2, 30)), "İstanbul ﬁne Ⅷ x² ΑΣ"]
+        own, library = PieceEncoder(public_tokenizers.path(name), spaced, 50), Tokenizer.from_file(public_tokenizers.path(name))
+        texts = [*ODD, *ADDED, *(t or "" for t in corpus(2, 30)), "İstanbul ﬁne Ⅷ x² ΑΣ", *ADDED]
         for text, got in zip(texts, own.encode(texts)):
-            assert np.frombuffer(got, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, text
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 @settings(max_examples=40, deadline=None)
@@ -255,23 +328,21 @@ def test_configurations_hold_all(counts):
 
 
 def test_packing(spark, texts):
-    docs = [*texts, *ODD, "word " * 9000]
+    docs = [*texts, *ODD, *ADDED, "word " * 9000]
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack_documents(make(spark, docs), path)
     cols = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     got = [tuple(r) for r in got.select(*cols).collect()]
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     assert brute.packing_faults(got, list(enumerate(docs)), t) is None
     assert len({r[5] for r in got}) <= -(-sum(r[3] for r in got) // 4096) + 1
 
 
 @pytest.mark.parametrize("shard", [1 << 18, 300])
 def test_shards(spark, texts, tmp_path, shard):
-    docs = [*texts, *ODD]
+    docs = [*texts, *ODD, *ADDED]
     wavelet.write_shards(make(spark, docs), str(tmp_path / "shards"), public_tokenizers.path("byte_bpe_50k.json"), 16, shard=shard)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want, at = set(), 0
     for k, text in enumerate(docs):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -321,7 +392,7 @@ def test_empty_tables(spark):
         suffix.dedup_substrings(docs),
         rlz.dedup_passages(docs),
         simhash.near_duplicates(docs),
-        simhash.similar_documents(docs),
+        similar.similar_documents(docs),
         rules.judge(docs, labels),
         toxicity.toxicity(docs, labels),
         quality.quality(docs, labels),

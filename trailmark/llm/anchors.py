@@ -2,12 +2,13 @@
 
 Every window is filed under its anchor, the leftmost q-gram of least hash inside it, so equal windows have equal
 anchors at equal offsets, wherever they stand.  Neighbouring windows with one anchor form a fragment; only small rows (a hash of
-the anchor, a digest of the fragment) are exchanged for all fragments, about one for W / 2 units.  Anchors that occur
-once end there.  Fragments that are equal as a whole are settled by their digest and count; only where
-fragments of one anchor differ is one of each kind fetched, brought together by anchor, and resolved by the operator.
+the anchor, a 128-bit digest of the fragment) are exchanged for all fragments, about one for W / 2 units.  Anchors that
+occur once end there: no window of theirs can stand twice.  Of all other fragments one of each kind is fetched, with
+the number of its copies, brought together by anchor, and resolved by the operator; every unit that goes, goes by that.
 
-An anchor with more than ``most`` different fragments isn't gathered in a task: its windows are counted
-one by one in a shuffle, which has the same result.
+An anchor with more than ``most`` different fragments isn't gathered in a task.  Its windows get the bucket identifiers that
+refinement by doubling leads to (the identifier of a longer string is made of those of its halves), and the buckets,
+which are the operator's index dealt over all tasks, meet in a shuffle.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 #: Different fragments of an anchor that one task may gather.
-MOST = 20_000
+MOST = 8192
 #: Units in a buffer, and the bits of its positions.
 BUFFER, POSITION_BITS = 1 << 21, 22
 _odd = np.random.Generator(np.random.PCG64(2024)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,7 +89,7 @@ def leftmost_least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(units: Units, parts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(part, first window, windows, anchor's offset in the first window, anchor's hash, digest) of all fragments."""
+    """(part, first window, windows, anchor's offset in the first window, anchor's hash, two halves of the digest) of all fragments."""
     size, window = units.size, units.window
     lengths = np.array([len(p) // size for p in parts], np.int64)
     pieces: list[tuple[int, int, int]] = []  # part, from, to; a long part is cut with an overlap
@@ -120,9 +121,10 @@ def _runs(units: Units, parts: list[bytes], pieces: list[tuple[int, int, int]])
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     begin, anchor = at[first], anchor[first]
     count = np.diff(np.append(first, len(at)))
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     ends = (begin + count + window - 1) * size
     digests = [digest(data[b:e]) for b, e in zip((begin * size).tolist(), ends.tolist(), strict=True)]
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     piece = np.searchsorted(starts, begin, "right") - 1
     part = np.array([k for k, _, _ in pieces])[piece]
     offset = np.array([lo for _, lo, _ in pieces])[piece] - starts[piece]
@@ -132,11 +134,12 @@ def _runs(units: Units, parts: list[bytes], pieces: list[tuple[int, int, int]])
         count,
         anchor - begin,
         h[anchor].view(np.int64),
-        np.array(digests, np.uint64).view(np.int64),
+        halves[:, 0],
+        halves[:, 1],
     )
 
 
-FRAGMENT = "doc_id long, rk long, i long, n int, rel int, k long, d long"
+FRAGMENT = "doc_id long, rk long, i long, n int, rel int, k long, d long, e long"
 
 
 def fragments(docs: DataFrame, units: Units) -> DataFrame:
@@ -144,26 +147,37 @@ def fragments(docs: DataFrame, units: Units) -> DataFrame:
         for b in batches:
             ids, keys, texts = (b.column(c).to_pylist() for c in ("doc_id", "rk", "text"))
             begin = size = 0
-            for e in range(1, len(texts) + 1):
-                size += len(texts[e - 1])
-                if size < BUFFER and e < len(texts):
+            for end in range(1, len(texts) + 1):
+                size += len(texts[end - 1])
+                if size < BUFFER and end < len(texts):
                     continue
-                parts = [units.split(t) for t in texts[begin:e]]
-                own = np.array(ids[begin:e], np.int64), np.array(keys[begin:e], np.int64)
-                for part, i, n, rel, k, d in runs_of(units, parts):
-                    cols = [own[0][part], own[1][part], i, n.astype(np.int32), rel.astype(np.int32), k, d]
+                parts = [units.split(t) for t in texts[begin:end]]
+                own = np.array(ids[begin:end], np.int64), np.array(keys[begin:end], np.int64)
+                for part, i, n, rel, *hashes in runs_of(units, parts):
+                    cols = [own[0][part], own[1][part], i, n.astype(np.int32), rel.astype(np.int32), *hashes]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in cols], names=["doc_id", "rk", "i", "n", "rel", "k", "d"]
+                        [pa.array(c) for c in cols], names=["doc_id", "rk", "i", "n", "rel", "k", "d", "e"]
                     )
-                begin, size = e, 0
+                begin, size = end, 0
 
     return docs.mapInArrow(cut, FRAGMENT)
 
 
+#: What ``resolve`` gets of each different fragment, whole anchors in order of k.  first_id: the least document that has it;
+#: copies: how often it stands in all; rel: its anchor's offset; n: its windows.
+KIND = ("k", "d", "e", "first_id", "copies", "rel", "n", "data")
+_kind_types = (*[pa.int64()] * 5, *[pa.int32()] * 2, pa.binary())
+_spans = pa.list_(pa.struct([("i", pa.int64()), ("n", pa.int64())]))
+SETTLED = (
+    "k long, d long, e long, first_id long, copies long, own array<struct<i:long,n:long>>, later array<struct<i:long,n:long>>"
+)
+Spans = list[tuple[int, int]]
+
+
 def repeated_starts(
     docs: DataFrame,
     units: Units,
-    resolve: Callable[[list[tuple]], list[list[tuple[int, int]]]],
+    resolve: Callable[[list[tuple]], tuple[list[Spans], list[Spans]]],
     earlier_only: bool,
     most: int = MOST,
 ) -> DataFrame:
@@ -171,33 +185,27 @@ def repeated_starts(
 
     docs: doc_id, rk (a hash of the text; tells rows of one id apart) and text.  earlier_only: a window counts
     where it also starts in a document of smaller id; else where it starts anywhere else.
-    resolve: gets rows (k, d, first_id, copies, rel, n, data), whole anchors in order of k, and gives each row's
-    repeated windows as [(first, number)].
+    resolve: gets rows of KIND and gives, for each, the repeated windows [(first, number)] of the fragment in document
+    ``first_id``, and in the others that have it.
     """
     frags = written(fragments(docs, units), "fragments")
-    by_anchor = frags.groupBy("k").agg(
-        F.count(F.lit(1)).alias("all"),
-        F.min("d").alias("d0"),
-        F.max("d").alias("d1"),
-        F.min("doc_id").alias("id0"),
-        F.max("doc_id").alias("id1"),
-    )
-    wanted = F.col("id0") < F.col("id1") if earlier_only else F.col("all") > 1
-    by_anchor = by_anchor.where(wanted).select("k", "id0", (F.col("d0") == F.col("d1")).alias("same"))
-    again = written(frags.join(by_anchor, "k"), "repeated")
+    ends = (F.min("doc_id").alias("id0"), F.max("doc_id").alias("id1"))
+    by_anchor = frags.groupBy("k").agg(F.count(F.lit(1)).alias("all"), *ends)
+    by_anchor = by_anchor.where(F.col("id0") < F.col("id1") if earlier_only else F.col("all") > 1)
+    by_anchor = written(by_anchor.select("k", "all"), "anchors")
+    again = written(spread_join(frags, by_anchor, ["k"], "all").drop("all"), "repeated")
 
-    differ = again.where("not same")
-    kinds = differ.groupBy("k", "d").agg(
+    kinds = again.groupBy("k", "d", "e").agg(
         F.count(F.lit(1)).alias("copies"),
         F.min("doc_id").alias("first_id"),
         F.min(F.struct("doc_id", "rk", "i", "n", "rel")).alias("one"),
     )
     kinds = written(kinds, "kinds")
-    many = kinds.groupBy("k").count().where(F.col("count") > most).select("k", F.lit(True).alias("many"))
-    own = kinds.join(many, "k", "left").select(
+    many = written(kinds.groupBy("k").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > most), "many")
+    own = spread_join(kinds, many, ["k"], "different", "left").select(
         F.col("one.doc_id").alias("doc_id"),
         F.col("one.rk").alias("rk"),
-        F.struct("k", "d", "first_id", "copies", "one.rel", "one.i", "one.n", F.coalesce("many", F.lit(False)).alias("many")).alias("f"),
+        F.struct("k", "d", "e", "first_id", "copies", "one.rel", "one.i", "one.n", F.col("different").isNotNull().alias("many")).alias("f"),
     )
     wanted_of = own.groupBy("doc_id", "rk").agg(F.collect_list("f").alias("fs"))  # a document's own fragments
 
@@ -208,40 +216,32 @@ def repeated_starts(
                 data = units.split(text)
                 for f in fs:
                     lo, hi = f["i"] * units.size, (f["i"] + f["n"] + units.window - 1) * units.size
-                    rows.append((f["k"], f["d"], f["first_id"], f["copies"], f["rel"], f["n"], f["many"], data[lo:hi]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            cols = list(zip(*rows, strict=True)) or [()] * 8
+                    rows.append((f["many"], *(f[c] for c in KIND[:-1]), data[lo:hi]))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                names=["k", "d", "first_id", "copies", "rel", "n", "many", "data"],
+                [pa.array(c, t) for c, t in zip(cols, (pa.bool_(), *_kind_types), strict=True)], names=["many", *KIND]
             )
 
     # The wanted fragments are one row a document; of repeated rows of one text each gives them, and one counts.
     texts = docs.join(wanted_of, ["doc_id", "rk"]).select("doc_id", "rk", "text", "fs")
-    fetched = written(
-        texts.mapInArrow(
-            fetch, "k long, d long, first_id long, copies long, rel int, n int, many boolean, data binary"
-        ),
-        "fetched",
-    )
+    schema = "many boolean, k long, d long, e long, first_id long, copies long, rel int, n int, data binary"
+    fetched = written(texts.mapInArrow(fetch, schema), "fetched")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "d", "first_id", "copies", "rel", "n", "data"]
-
         def give(rows: list[tuple]) -> pa.RecordBatch:
-            spans = resolve(rows)
-            found = [(r[0], r[1], [{"i": i, "n": n} for i, n in s]) for r, s in zip(rows, spans, strict=True) if s]
-            cols = list(zip(*found, strict=True)) or [()] * 3
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("i", pa.int64()), ("n", pa.int64())])))
+            as_dicts = [[[{"i": i, "n": n} for i, n in s] for s in spans] for spans in resolve(rows)]
+            found = [(*r[:5], s, t) for r, s, t in zip(rows, *as_dicts, strict=True) if s or t]
+            cols = list(zip(*found, strict=True)) or [()] * 7
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["k", "d", "part"]
+                [pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, _spans, _spans), strict=True)],
+                names=[*KIND[:5], "own", "later"],
             )
 
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                if held and row[:2] == held[-1][:2]:
+            for row in zip(*(b.column(c).to_pylist() for c in KIND), strict=True):
+                if held and row[:3] == held[-1][:3]:
                     continue
                 if size > 3_000_000 and row[0] != held[-1][0]:
                     yield give(held)
@@ -251,52 +251,67 @@ def repeated_starts(
         if held:
             yield give(held)
 
-    found = "k long, d long, part array<struct<i:long,n:long>>"
-    gathered = fetched.where("not many").repartition("k").sortWithinPartitions("k", "d").mapInArrow(settle, found)
-    settled = written(gathered.unionByName(_counted(fetched.where("many"), units, earlier_only, found)), "settled")
+    few = fetched.where("not many").repartition("k").sortWithinPartitions("k", "d", "e")
+    settled = few.mapInArrow(settle, SETTLED).unionByName(_dealt_index(fetched.where("many"), units, earlier_only))
+    settled = written(settled, "settled")
 
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.col("n").cast("long").alias("n")))
-    plain = again.where("same")
-    if earlier_only:
-        plain = plain.where("doc_id > id0")
-    plain = plain.select("doc_id", "rk", "i", whole.alias("part"))
-    full = F.col("doc_id") > F.col("first_id") if earlier_only else F.col("copies") > 1
-    rest = (
-        differ.join(kinds.select("k", "d", "first_id", "copies"), ["k", "d"])
-        .join(settled, ["k", "d"], "left")
-        .select("doc_id", "rk", "i", F.when(full, whole).otherwise(F.col("part")).alias("part"))
-        .where("part is not null")
-    )
+    part = F.when(F.col("doc_id") == F.col("first_id"), F.col("own")).otherwise(F.col("later"))
+    found = spread_join(again, settled, ["k", "d", "e"], "copies").select("doc_id", "rk", "i", part.alias("part"))
     starts = F.transform("part", lambda p: F.struct((F.col("i") + p["i"]).alias("i"), p["n"].alias("n")))
     return (
-        plain.unionByName(rest)
+        found.where(F.size("part") > 0)
         .select("doc_id", "rk", starts.alias("spans"))
         .groupBy("doc_id", "rk")
         .agg(F.flatten(F.collect_list("spans")).alias("spans"))
     )
 
 
-def _counted(fetched: DataFrame, units: Units, earlier_only: bool, schema: str) -> DataFrame:
-    """Windows of anchors with very many fragments: each is a row of its 128-bit digest, counted in a shuffle."""
+def bucket_names(units: Units, data: bytes) -> np.ndarray:
+    """A 128-bit bucket identifier for each window: that of twice as long a string is made of those of its two halves."""
+    first, depth = (eights(data), 8) if units.size == 1 else (np.frombuffer(data, "<u8"), 1)
+    n = len(data) // units.size - units.window + 1
+    lanes = []
+    for lane in range(2):
+        x, at = first, depth
+        while True:
+            x = (x ^ x >> np.uint64(32)) * _odd[40 + lane]
+            x ^= x >> np.uint64(29)
+            if at == units.window:
+                break
+            step = min(at, units.window - at)
+            x = x[: len(x) - step] * _odd[42 + lane] + x[step:] * _odd[44 + lane]
+            at += step
+        lanes.append(x[:n].view(np.int64))
+    return np.stack(lanes)
+
+
+def _dealt_index(fetched: DataFrame, units: Units, earlier_only: bool) -> DataFrame:
+    """SETTLED rows of anchors with very many fragments: each window looks its bucket up in an index that all tasks share."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, d, first, n, data in zip(*(b.column(c).to_pylist() for c in ("k", "d", "first_id", "n", "data")), strict=True):
-                wide = units.window * units.size
-                w = [xxhash.xxh3_128_digest(data[p : p + wide]) for p in range(0, n * units.size, units.size)]
-                own = [np.full(n, x, np.int64) for x in (k, d, first)]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, own), pa.array(np.arange(n, dtype=np.int64)), pa.array(w, pa.binary())],
-                    names=["k", "d", "first_id", "p", "w"],
-                )
-
-    rows = fetched.dropDuplicates(["k", "d"]).mapInArrow(each, "k long, d long, first_id long, p long, w binary")
-    count = rows.groupBy("w").agg(F.count(F.lit(1)).alias("all"), F.min("first_id").alias("id0"))
-    hits = rows.join(count.where("all > 1"), "w")
+            for *key, n, data in zip(*(b.column(c).to_pylist() for c in (*KIND[:5], "n", "data")), strict=True):
+                cols = [np.full(n, x, np.int64) for x in key] + [np.arange(n, dtype=np.int64), *bucket_names(units, data)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[*KIND[:5], "p", "w0", "w1"])
+
+    kinds = fetched.dropDuplicates(["k", "d", "e"])
+    schema = "k long, d long, e long, first_id long, copies long, p long, w0 long, w1 long"
+    rows = written(kinds.mapInArrow(each, schema), "windows")
+    buckets = rows.groupBy("w0", "w1").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("copies").alias("all"), F.min("first_id").alias("id0")
+    )
+    buckets = written(buckets.where("all > 1"), "buckets")
+    hits = spread_join(rows, buckets, ["w0", "w1"], "size")
     if earlier_only:
         hits = hits.where("id0 < first_id")
     one = F.struct(F.col("p").alias("i"), F.lit(1).cast("long").alias("n"))
-    return hits.groupBy("k", "d").agg(F.collect_list(one).alias("part"))  # a fragment's own windows
+    own = hits.groupBy("k", "d", "e").agg(F.collect_list(one).alias("own"))  # a fragment's own windows
+    none = F.array().cast("array<struct<i:long,n:long>>")
+    out = kinds.join(own, ["k", "d", "e"], "left").withColumn("own", F.coalesce("own", none))
+    # Another document's copy finds all its windows in the index, as the first one's are there.
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.col("n").cast("long").alias("n")))
+    later = F.when(F.col("copies") > 1, whole).otherwise(none) if earlier_only else F.col("own")
+    return out.select(*KIND[:5], "own", later.alias("later")).where("size(own) + size(later) > 0")
 
 
 def covered(spans: list[dict] | None, window: int, length: int) -> list[tuple[int, int]]:

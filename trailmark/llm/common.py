@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +39,12 @@ def public_id(col: str | Column = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Only a local session may do without one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
@@ -50,13 +53,54 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/trailmark-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Paths of tables that an open ``scratch`` removes at its end.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` made within are removed at the end: what is still needed must be written with ``keep``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _scratch.pop())
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than one in HOT of all rows, so at most HOT keys are.
+HOT = 1000
+
+
+def spread_join(
+    rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner", total: int | None = None
+) -> DataFrame:
+    """``rows`` joined with a written ``table`` of one row a key, whose column ``count`` tells how many of ``rows`` a key has.
+
+    Rows of hot keys meet the at most HOT rows of the table by broadcast, wherever they are; only the others are shuffled.
+    """
+    total = rows.count() if total is None else total
+    hot = F.col(count) * HOT > total
+    few = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(rest.join(table.where(~hot), keys, how))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -52,18 +52,10 @@ def _name(rows: DataFrame, keys: list[str], first: int = 0) -> DataFrame:
     return named.withColumn("name", number if not first else F.lit(-1).cast("long") - number)
 
 
-def exact_groups(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (hex, of the normalised text), rk (a
-    hash of the text).
-
-    Null text: empty; all empty texts are one group.  Rows repeated with the same doc_id are members like any other
-    and exactly one row of a group is kept (the later one among equal ids).  A null doc_id sorts after all ids.
-    An empty table gives an empty result.
-    """
-    docs = doc_rows(docs)
-    full = _blocks(docs, block_size)
+def _hashed(docs: DataFrame, block_size: int) -> tuple[DataFrame, DataFrame]:
+    """(row_id, doc_id, alone, own, n, i, h: a row for each block of each document; h, name: the distinct blocks)."""
     n = F.size("blocks")
-    hashed = _blocks(docs, block_size, F.monotonically_increasing_id().alias("row_id"), F.col("doc_id")).select(
+    hashed = _blocks(docs, block_size, F.col("row_id"), F.col("doc_id")).select(
         "row_id",
         "doc_id",
         (n == 1).alias("alone"),
@@ -72,29 +64,33 @@ def exact_groups(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
         F.posexplode(F.transform("blocks", lambda b: F.xxhash64(b))).alias("i", "h"),
     )
     rows = written(hashed.withColumn("own", F.when(F.col("i") == 0, F.col("own"))), "blocks")
-
     # The distinct blocks with their hash: the one shuffle of text.  Names come from the sorted blocks.
-    texts = full.select(F.explode("blocks").alias("block")).select(F.xxhash64("block").alias("h"), "block")
+    texts = _blocks(docs, block_size).select(F.explode("blocks").alias("block")).select(F.xxhash64("block").alias("h"), "block")
     distinct = texts.groupBy("h", "block").agg(F.lit(1).alias("one")).sortWithinPartitions("block", "h")
-    names = written(distinct.select("h", F.monotonically_increasing_id().alias("name")), "names")
+    return rows, written(distinct.select("h", F.monotonically_increasing_id().alias("name")), "names")
+
+
+def exact_groups(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (hex, of the normalised text), rk (a
+    hash of the text).
+
+    Null text: empty; all empty texts are one group.  Rows repeated with the same doc_id are members like any other
+    and exactly one row of a group is kept (the later one among equal ids).  A null doc_id sorts after all ids.
+    An empty table gives an empty result.
+    """
+    docs = doc_rows(docs).withColumn("row_id", F.monotonically_increasing_id())
+    rows, names = _hashed(docs, block_size)
     clash = names.groupBy("h").count().where("count > 1").select("h")
     if clash.take(1):
-        clash = written(clash, "clash")
-        apart = texts.join(clash, "h", "left_semi").groupBy("h", "block").agg(F.lit(1).alias("one"))
-        apart = written(
-            apart.sortWithinPartitions("block").select(
-                "h", "block", (F.lit(-1) - F.monotonically_increasing_id()).alias("name")
-            ),
-            "apart",
-        )
-        again = (
-            _blocks(docs, block_size, F.monotonically_increasing_id().alias("row_id"))
-            .select("row_id", F.posexplode("blocks").alias("i", "block"))
-            .withColumn("h", F.xxhash64("block"))
-            .join(clash, "h", "left_semi")
-            .join(apart, ["h", "block"])
-            .select("row_id", "i", "name")
-        )
+        # Written first, as row numbers needn't repeat in another pass over ``docs``.
+        docs = written(docs, "rows")
+        rows, names = _hashed(docs, block_size)
+        clash = written(names.groupBy("h").count().where("count > 1").select("h"), "clash")
+        again = _blocks(docs, block_size, F.col("row_id")).select("row_id", F.posexplode("blocks").alias("i", "block"))
+        again = again.withColumn("h", F.xxhash64("block")).join(clash, "h", "left_semi")
+        apart = again.groupBy("h", "block").agg(F.lit(1).alias("one")).sortWithinPartitions("block")
+        apart = written(apart.select("h", "block", (F.lit(-1) - F.monotonically_increasing_id()).alias("name")), "apart")
+        again = again.join(apart, ["h", "block"]).select("row_id", "i", "name")
         named = rows.join(clash, "h", "left_anti").join(names, "h").drop("h").unionByName(
             rows.join(clash, "h", "left_semi").join(again, ["row_id", "i"]).drop("h")
         )

@@ -2,8 +2,8 @@
 
 A text is a bag of passages of ``PASSAGE`` words.  Each passage is encoded (its make-up of characters and words, then a learned
 layer); gated attention weighs the passages, and the weighted sum is scored.  Only documents have labels:
-attention learns by itself which passages tell.  Training takes a bounded sample (``SAMPLE`` rows of each label)
-on the driver; scoring is a map over all texts.
+attention learns by itself which passages tell.  Training takes a bounded sample (``SAMPLE`` rows and ``SAMPLE_BYTES``
+of text of each label) on the driver; scoring is a map over all texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import doc_rows, public_id
 from .labelled import remainder, sample
 
-PASSAGE, SAMPLE, EPOCHS, BATCH, RATE = 64, 2500, 60, 64, 0.01
+PASSAGE, EPOCHS, BATCH, RATE = 64, 60, 64, 0.01
+SAMPLE, SAMPLE_BYTES = 2500, 24_000_000
 HIDDEN, GATE = 24, 16
 _classes = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!?", b"#*$%&", b"|<>", b"@/:-_", b"\n"]
 _class = np.full(256, len(_classes), np.uint8)  # other ASCII
@@ -115,7 +116,7 @@ class Attention:
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, size: int = SAMPLE) -> Attention:
-    rows = sample(docs, labels, "quality", remainder("doc_id", modulus) != held, size)
+    rows = sample(docs, labels, "quality", remainder("doc_id", modulus) != held, size, SAMPLE_BYTES)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,19 +3,22 @@
 The fragments that an anchor brings together (see anchors) are reference blocks, indexed by their windows in order of document
 id.  Each is parsed greedily against all blocks of smaller ids: a factor starts where a window of it is
 indexed and runs on as far as that block agrees; a factor of ``window`` words or more is a duplicate span.  After
-a factor the parse goes on at the first window that the factor doesn't hold, across its boundary.
+a factor the parse goes on at the first window that the factor doesn't hold, across its boundary.  A fragment that
+stands in several documents is parsed twice: as the first of them has it, and as the later ones do, for which the first
+is a block too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import MOST, Units, covered, repeated_starts, word_hashes
+from .anchors import MOST, Spans, Units, covered, repeated_starts, word_hashes
 from .common import doc_rows, public_id
 
 WINDOW, GRAM = 50, 8
@@ -29,36 +32,37 @@ def _agree(a: bytes, i: int, b: bytes, j: int) -> int:
     return int(other[0]) if len(other) else n
 
 
-def parse(rows: list[tuple], window: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """rows: (k, d, first_id, copies, rel, n, data), whole anchors together.  See anchors.repeated_starts."""
-    out: list[list[tuple[int, int]]] = [[] for _ in rows]
-    begin = 0
-    while begin < len(rows):
-        end = begin
-        while end < len(rows) and rows[end][0] == rows[begin][0]:
-            end += 1
+def parse(rows: list[tuple], window: int = WINDOW) -> tuple[list[Spans], list[Spans]]:
+    """rows: anchors.KIND, whole anchors together.  See anchors.repeated_starts."""
+    own: list[Spans] = [[] for _ in rows]
+    later: list[Spans] = [[] for _ in rows]
+    for _, anchor in groupby(range(len(rows)), key=lambda r: rows[r][0]):
         index: dict[bytes, tuple[int, int]] = {}
-        later: list[tuple[int, int]] = []
-        order = sorted(range(begin, end), key=lambda r: rows[r][2])
-        for at, r in enumerate(order):
-            if at and rows[r][2] != rows[order[at - 1]][2]:  # blocks of the same document come in together
-                for q, p in later:
-                    index.setdefault(rows[q][6][8 * p : 8 * (p + window)], (q, p))
-                later = []
-            n, data = rows[r][5], rows[r][6]
-            p = 0
+
+        def factors(r: int, spans: Spans) -> list[tuple[int, int]]:
+            """Adds the factors of a block to ``spans``; gives the windows that no block has."""
+            n, data = rows[r][6:]
+            p, missed = 0, []
             while p < n:
                 ref = index.get(data[8 * p : 8 * (p + window)])
                 if ref is None:
-                    later.append((r, p))
+                    missed.append((r, p))
                     p += 1
                     continue
-                factor = _agree(data, p, rows[ref[0]][6], ref[1])
+                factor = _agree(data, p, rows[ref[0]][7], ref[1])
                 windows = min(factor - window + 1, n - p)
-                out[r].append((p, windows))
+                spans.append((p, windows))
                 p += windows
-        begin = end
-    return out
+            return missed
+
+        for _, blocks in groupby(sorted(anchor, key=lambda r: rows[r][3]), key=lambda r: rows[r][3]):
+            blocks = list(blocks)  # those of one document come in together
+            for q, p in [x for r in blocks for x in factors(r, own[r])]:
+                index.setdefault(rows[q][7][8 * p : 8 * (p + window)], (q, p))
+            for r in blocks:
+                if rows[r][4] > 1:
+                    factors(r, later[r])
+    return own, later
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:

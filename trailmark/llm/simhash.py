@@ -162,10 +162,9 @@ def links(classes: DataFrame, prints: list[str], given: list[tuple[int, str, int
     return out
 
 
-def _named(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """classes (..., rep, least), links found (u, v) of rep -> classes with component (the least rep) and component_id, the
-    least id of the component.  rep names a class and nothing else; ids may be null or repeated."""
-    whole = components(found)
+def named_by(classes: DataFrame, whole: DataFrame) -> DataFrame:
+    """classes (..., rep, least) and components (u, component) of rep -> classes with component (the least rep) and
+    component_id, the least id of the component.  rep names a class and nothing else; ids may be null or repeated."""
     own = classes.join(whole, classes["rep"] == whole["u"], "left").drop("u")
     own = own.withColumn("component", F.coalesce("component", "rep"))
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -177,7 +176,7 @@ def _grouped(found: DataFrame, given: list[tuple[int, str, int]], bar: int, radi
     found = written(found, "fingerprints")
     classes = found.groupBy(*prints).agg(F.min("doc_id").alias("least"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    named = _named(classes, links(classes, prints, given, bar, radius, most))
+    named = named_by(classes, components(links(classes, prints, given, bar, radius, most)))
     return found.join(named, prints).select(
         public_id().alias("doc_id"), "rk", *prints, "component", public_id("component_id").alias("component_id")
     )
@@ -196,10 +195,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def hex_print(c: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
-
-
-def similar_documents(docs: DataFrame, **given) -> DataFrame:
-    """Groups by the exact similarity of shingle sets, which fingerprints only estimate: see overlap."""
-    from .overlap import similar_documents as exactly
-
-    return exactly(docs, **given)

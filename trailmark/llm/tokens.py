@@ -2,7 +2,8 @@
 
 Both vocabularies cut a text before an ASCII space that follows a word, so the piece between two such spaces has the
 same ids wherever it stands.  Pieces are looked up in a bounded table per Python worker; words not seen yet are
-encoded many in one text.  Texts where the cut isn't certain (runs of white space) are encoded whole.
+encoded many in one text.  Texts where the cut isn't certain (runs of white space, the string of an added token, which the
+library takes for that token wherever it stands) are encoded whole.
 """
 
 from __future__ import annotations
@@ -24,9 +25,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 class PieceEncoder:
@@ -34,6 +33,7 @@ class PieceEncoder:
 
     def __init__(self, path: str, spaced: bool, remembered: int = REMEMBERED):
         self.tokenizer, self.spaced, self.remembered = tokenizer(path), spaced, remembered
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         # ids that begin a word after a space, or that end a word
@@ -103,9 +103,10 @@ class PieceEncoder:
         """The ids of each text, in order."""
         known = self.known
         heads, rests = [], []
-        for text in texts:
-            pieces = text.split(" ")
-            heads.append(pieces.pop(0) if self.spaced else "")
+        whole = [any(t in text for t in self.added) for text in texts]
+        for text, uncut in zip(texts, whole, strict=True):
+            pieces = [] if uncut else text.split(" ")
+            heads.append(pieces.pop(0) if self.spaced and pieces else "")
             rests.append(pieces)
         need = set().union(*rests).difference(known)
         # A space after white space isn't a cut in a vocabulary that keeps it: such texts are encoded whole.
@@ -114,8 +115,8 @@ class PieceEncoder:
         if need:
             room = len(known) + 2 * len(need) <= self.remembered
             self._learn([p for p in need if p not in odd], known if room else over)
-        for text, head, rest in zip(texts, heads, rests, strict=True):
-            if self.spaced and ((head and head[-1].isspace()) or (odd and not odd.isdisjoint(rest))):
+        for text, head, rest, uncut in zip(texts, heads, rests, whole, strict=True):
+            if uncut or self.spaced and ((head and head[-1].isspace()) or (odd and not odd.isdisjoint(rest))):
                 yield self.ids(text)
                 continue
             first = self.ids(head) if head else b""

@@ -4,7 +4,8 @@ Words are hashed to embeddings: a word's is the sum of those of its whole, its f
 characters, where rows enough of the sample have them.  Filters of widths 1, 2 and 3 run over the whole text, their greatest values
 are pooled and weighed.  The logit at which a text counts as toxic is calibrated by language on labelled rows that
 the filters weren't trained on; the language is told from the text's words, never from a column.  Training
-takes a bounded sample (``SAMPLE`` rows of each label) on the driver; scoring is a map over all texts.
+takes a bounded sample (``SAMPLE`` rows and ``SAMPLE_BYTES`` of text of each label) on the driver; scoring is a map over
+all texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import doc_rows, public_id
 from .labelled import remainder, sample
 
-SAMPLE, EPOCHS, BATCH, RATE = 4000, 10, 64, 0.02
+SAMPLE, SAMPLE_BYTES = 4000, 24_000_000
+EPOCHS, BATCH, RATE = 10, 64, 0.02
 #: Rows of the sample that must have a word or beginning for it to count, and the share of words left out while learning.
 LEAST, DROP = 5, 0.3
 #: What the share of clean texts counted as toxic costs, against the share of toxic ones missed.
@@ -182,7 +184,8 @@ class Network:
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, size: int = SAMPLE) -> Network:
     """Fits on labelled rows whose crc32 remainder isn't ``held``; a quarter of them calibrates."""
-    rows = sample(docs, labels, "toxic", remainder("doc_id", modulus) != held, size, F.col("lang").cast("string").alias("lang"))
+    lang = F.col("lang").cast("string").alias("lang")
+    rows = sample(docs, labels, "toxic", remainder("doc_id", modulus) != held, size, SAMPLE_BYTES, lang)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int, held: int, size: int
             cols = [b.column("doc_id"), b.column("label"), b.column("lang"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "label", "lang", "slots"])
 
-    got = rows.mapInArrow(slots, "doc_id long, label int, lang string, slots binary").toPandas()  # 2 x size rows at most
+    got = rows.mapInArrow(slots, "doc_id long, label int, lang string, slots binary").toPandas()  # bounded: see sample
     got = got.sort_values("doc_id")
     net = Network()
     texts = [np.frombuffer(x, np.int64) for x in got["slots"]]

@@ -177,7 +177,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, bits: int, end_id:
         if own:
             yield give()
 
-    rows = doc_rows(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, null ids among them, may be many: ranges go on by the beginning of the text, which sorts alike.
+    begin = F.substring("text", 1, 64)
+    rows = doc_rows(docs).repartitionByRange("doc_id", begin).sortWithinPartitions("doc_id", "text")
     shards = rows.mapInArrow(build, "part int, seq int, n_tokens long, n_docs long, payload binary")
     shards.write.option("compression", "zstd").parquet(path)
 
