@@ -37,7 +37,7 @@ FOUND, WORD = 0.93, 28
 BLOCK, PAIRS = 20_000, 4096
 #: A bucket is crowded if it has more near pairs than this for each of its rows.  Buckets up to SMALL rows are compared at once.
 CROWDED, SMALL = 4, 256
-PARITIES = 2048
+PARITIES = 1024
 #: Keys that OFTEN or more of about SAMPLED texts have are dealt to several tasks; this changes no result.
 SAMPLED, OFTEN = 20_000, 10
 
@@ -248,44 +248,49 @@ def _candidates(classes: DataFrame, bits: int, count: int, most: int, n: int, bl
     return pairs, met.where("u is null").select("key").distinct()
 
 
-def _open(rows: DataFrame, crowded: DataFrame, most: int, block: int, total: int) -> DataFrame:
-    """Near pairs (u, v) that meet under a crowded key and aren't in one component; keys of more than ``block`` rows in blocks
-    two by two."""
+def _open(rows: DataFrame, crowded: DataFrame, linked: DataFrame, bar: Fraction, most: int, block: int, total: int) -> DataFrame:
+    """Pairs (u, v) that meet under a crowded key, are near and may be similar, and aren't in one component.
+
+    rows: key, rep, x, y, comp; linked: rep, n, bits.  Keys of more than ``block`` rows are dealt in blocks two by two.  Only
+    rows of keys with several components take their parities along.
+    """
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, _, rep, x, y, comp), begins, ends in _buckets(batches, 3):
+        for (_, _, _, rep, x, y, comp, n, bits), begins, ends in _buckets(batches, 3):
+            own = np.frombuffer(b"".join(bits.tolist()), np.uint64).reshape(len(rep), -1)
             mixed = np.minimum.reduceat(comp, begins) < np.maximum.reduceat(comp, begins)
-            us, vs, held = [], [], 0
+            us, vs = [], []
             for b, e in zip(begins[mixed].tolist(), ends[mixed].tolist(), strict=True):
                 for i in range(b, e - 1):
                     rest = i + 1 + np.flatnonzero(comp[i + 1 : e] != comp[i])
-                    near = rep[rest[_differ(x, y, i, rest) <= most]]
-                    us.append(np.full(len(near), rep[i]))
-                    vs.append(near)
-                    held += len(near)
-                    if held > 1_000_000:
-                        yield pair_batch(us, vs)
-                        us, vs, held = [], [], 0
-            if held:
-                yield pair_batch(us, vs)
-
-    def pair_batch(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    counts = rows.join(crowded, "key", "left_semi").groupBy("key")
+                    rest = rest[_differ(x, y, i, rest) <= most]
+                    if len(rest):
+                        rest = rest[_may_reach(own[rest] ^ own[i], n[rest] + n[i], bar)]
+                        us.append(np.full(len(rest), rep[i]))
+                        vs.append(rep[rest])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    counts = rows.select("key", "comp").join(crowded, "key", "left_semi").groupBy("key")
     counts = counts.agg(F.count(F.lit(1)).alias("count"), (F.min("comp") < F.max("comp")).alias("mixed"))
     mixed = written(counts.where("mixed").select("key", "count", (F.col("count") / block + 1).cast("long").alias("blocks")), "mixed")
-    two = spread_join(rows, mixed, ["key"], "count", total=total).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    two = spread_join(rows, mixed, ["key"], "count", total=total).join(linked.select("rep", "n", "bits"), "rep")
+    two = two.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     two = two.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     two = two.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    dealt = two.select("key", "a", "b", "rep", "x", "y", "comp").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return dealt.mapInArrow(across, "u long, v long").distinct()
+    two = two.select("key", "a", "b", "rep", "x", "y", "comp", "n", "bits")
+    return two.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(across, "u long, v long").distinct()
+
+
+def _may_reach(bits: np.ndarray, both: np.ndarray, bar: Fraction) -> np.ndarray:
+    """Whether sets that differ in these parities and have so many elements together can be similar enough."""
+    num, den = bar.numerator, bar.denominator
+    return np.bitwise_count(bits).sum(1, np.int64) * (num + den) <= both * (den - num)
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, bar: Fraction) -> DataFrame:
     """The pairs (u, v) whose parities differ in no more bits than similar sets can differ in elements."""
-    num, den = bar.numerator, bar.denominator
 
     def bits(c: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1)
@@ -293,9 +298,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, bar: Fraction) -> DataFrame:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                differ = np.bitwise_count(bits(b.column("bu")) ^ bits(b.column("bv"))).sum(1, np.int64)
                 both = b.column("nu").to_numpy() + b.column("nv").to_numpy()
-                yield b.select(["u", "v"]).filter(pa.array(differ * (num + den) <= both * (den - num)))
+                good = _may_reach(bits(b.column("bu")) ^ bits(b.column("bv")), both, bar)
+                yield b.select(["u", "v"]).filter(pa.array(good))
 
     rows = pairs
     for c in ("v", "u"):
@@ -359,11 +364,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     crowded = written(crowded, "crowded")
     if crowded.take(1):
         linked = classes.join(whole, classes["rep"] == whole["u"], "left").withColumn("comp", F.coalesce("component", "rep"))
-        linked = written(linked.select("rep", *names, "comp"), "linked")
-        rows = _tables(linked, bits, count, "comp")
-        total = n * count * len(masks(RADIUS, bits))
-        more = _open(rows, crowded, most, block, total).join(pairs, ["u", "v"], "left_anti")
-        more = _linked(_likely(more, classes, bar), sets, bar)
+        linked = written(linked.select("rep", "n", "bits", *names, "comp"), "linked")
+        rows, total = _tables(linked, bits, count, "comp"), n * count * len(masks(RADIUS, bits))
+        more = _linked(_open(rows, crowded, linked, bar, most, block, total), sets, bar)
         if more.take(1):
             whole = components(links.unionByName(more))
     named = named_by(classes.select("rk", "rep", "least"), whole)
