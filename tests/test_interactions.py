@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 from trailmark.config import Settings
 from trailmark.functions import weights as wt
-from trailmark.operators import evaluation, hybrid, metadata, sequence, sessions
+from trailmark.operators import evaluation, hybrid, metadata, popularity, sequence, sessions
 from trailmark.operators import similarity as sm
 from trailmark.plans import catalog
 from trailmark.sources import artifact, tables
@@ -125,15 +125,47 @@ def test_recommendations_leave_out_what_was_seen(spark):
 
 
 def test_artifact(spark, tmp_path):
-    model = catalog._model(spark, SF)
-    path = artifact.save(model, str(tmp_path / "model"))
+    log_, categories = tables.events_log(spark, SF), tables.item_categories(spark, SF)
+    path = str(tmp_path / "model")
+    model = hybrid.train(log_, categories, catalog.S, path)
     again = artifact.load(spark, path)
-    assert again.settings == model.settings and again.sim.count() == model.sim.count()
+    assert again.settings == catalog.S and again.sim.count() == model.sim.count() > 0
+    assert artifact.load(spark, artifact.save(catalog._model(spark, SF), str(tmp_path / "bare"))).history is None
     spark.createDataFrame([('{"format_version": 2}',)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     with pytest.raises(ValueError):
         artifact.load(spark, path)
 
 
+def test_sessions_as_the_unit(spark):
+    rows = log(spark, [(1, 1, 0, 1), (1, 2, MIN, 1), (1, 3, 90 * MIN, 1), (2, 1, 0, 1), (2, 2, MIN, 1), (2, 3, 90 * MIN, 1)])
+    s = Settings(min_user_interactions=1, min_item_interactions=1, use_idf=False, weight_scheme="binary", shrinkage=0.0)
+    near = lambda s: {(r["itemid"], r["neighbor"]) for r in hybrid.fit_similarity(rows, s)[1].collect()}
+    assert near(s) == {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
+    assert near(s.but(co_occurrence_unit="sessionid")) == {(1, 2), (2, 1)}
+
+
+def test_ranks_go_on_from_range_to_range(spark):
+    scores = spark.createDataFrame([(k, float(k % 50)) for k in range(500)], "itemid long, score double")
+    want = sorted(range(500), key=lambda k: (-(k % 50), k))
+    got = popularity.ranked(scores).orderBy("rank").collect()
+    assert [r["itemid"] for r in got] == want and [r["rank"] for r in got] == list(range(1, 501))
+    assert not popularity.ranked(scores.where("false")).count()
+
+
+def test_sweep_keeps_the_best_and_reports_the_other_half(spark):
+    axes = {"shrinkage": [10.0, 50.0], "sequence_weight": [0.4], "co_occurrence_unit": ["visitorid", "sessionid"]}
+    trials = evaluation.sweep(catalog._log(spark, SF), tables.item_categories(spark, SF), catalog.S, axes)
+    assert [t[0] for t in trials] == ["start", *["shrinkage", "sequence_weight", "co_occurrence_unit"], "held out, start", "held out, winner"]
+    assert all(0 <= rate <= 1 for _, _, rate in trials)
+
+
+def test_several_files_of_properties(spark, tmp_path):
+    for k, line in enumerate(("1,5,categoryid,7", "2,5,categoryid,9")):
+        (tmp_path / f"p{k}.csv").write_text(f"timestamp,itemid,property,value\n{line}\n")
+    got = tables.load_category_map(spark, [str(tmp_path / "p0.csv"), str(tmp_path / "p1.csv")])
+    assert [tuple(r) for r in got.collect()] == [(5, 9)]
+
+
 def test_csv_sources(spark, tmp_path):
     (tmp_path / "e.csv").write_text("timestamp,visitorid,event,itemid,transactionid\n1000,1,addtocart,5,\n")
     (row,) = tables.load_events(spark, str(tmp_path / "e.csv"), {"addtocart": 4.0}).collect()

@@ -51,6 +51,7 @@ class Settings:
         return replace(self, **changes)
 
 
+#: The tuned settings, and the axes of the sweep with what it tries on each, in this order.
 TUNED = Settings(
     min_user_interactions=2,
     min_item_interactions=2,
@@ -66,3 +67,17 @@ TUNED = Settings(
     current_session_only=True,
     max_history_items=5,
 )
+AXES = {
+    "position_decay": [1.0, 0.95, 0.9, 0.8, 0.7, 0.5],
+    "sequence_weight": [0.0, 0.1, 0.2, 0.3, 0.5, 0.7],
+    "sequence_window": [1, 2, 3, 5],
+    "sequence_position_decay": [1.0, 0.7, 0.5],
+    "sequence_max_items": [1, 3, 5, 10],
+    "current_session_only": [False, True],
+    "max_history_items": [None, 5, 10, 20],
+    "co_occurrence_unit": ["visitorid", "sessionid"],
+    "shrinkage": [10.0, 25.0, 50.0, 100.0],
+    "k_neighbors": [50, 100, 200],
+    "history_weight_scheme": ["raw", "log", "binary"],
+    "similarity_power": [0.5, 1.0, 1.5],
+}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.config import Settings
+from trailmark.config import AXES, Settings
 from trailmark.operators import popularity as pop
-from trailmark.operators.hybrid import Model, fit, recommend
+from trailmark.operators.hybrid import Model, fit_popularity, fit_similarity, fit_steps, recommend
 from trailmark.operators.sessions import ordered_history
 from trailmark.operators.similarity import predict_scores
+from trailmark.sources.tables import written
 
 
 def leave_last_out(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +31,17 @@ def leave_last_out(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def sampled(cases: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """``size`` cases in a fixed order of their hash."""
-    return cases.orderBy(F.xxhash64("case_id", F.lit(seed)), "case_id").limit(size)
+    return cases.orderBy(_digest(seed), "case_id").limit(size)
+
+
+def _digest(seed: int) -> F.Column:
+    return F.md5(F.concat(F.col("case_id").cast("string"), F.lit(f":{seed}")).cast("binary"))
+
+
+def halves(cases: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(cases to tune on, cases held out), each by its own hash: about a half."""
+    low = F.substring(_digest(seed), 1, 1) < "8"
+    return cases.where(low), cases.where(~low)
 
 
 def histories(train: DataFrame, cases: DataFrame) -> DataFrame:
@@ -114,26 +127,63 @@ def rating_accuracy(model: Model, cases: DataFrame, history: DataFrame) -> DataF
     )
 
 
-def sweep(log: DataFrame, categories: DataFrame, start: Settings, axes: dict[str, list], n: int = 10) -> list[tuple[str, object, float]]:
-    """Coordinate descent over ``axes``: (setting, value, hit rate on one half of the cases) of each trial; only a better one stays."""
+@dataclass
+class Fits:
+    """Fits of one training log; the parts of a model that a change of settings leaves alone are fitted once."""
+
+    log: DataFrame
+    categories: DataFrame
+    popularity: tuple[DataFrame, DataFrame] | None = None
+    parts: dict = field(default_factory=dict)
+
+    def model(self, s: Settings) -> Model:
+        if self.popularity is None:
+            self.popularity = fit_popularity(self.log, self.categories)
+        unit = (s.co_occurrence_unit, s.session_gap_minutes, s.min_user_interactions, s.min_item_interactions, s.max_filter_passes)
+        own = ("sim", *unit, s.weight_scheme, s.use_idf, s.max_user_items, s.shrinkage, s.k_neighbors, s.similarity_power)
+        if own not in self.parts:
+            self.parts[own] = fit_similarity(self.log, s)
+        vectors, sim = self.parts[own]
+        steps = None
+        if s.sequence_weight > 0:
+            own = ("steps", *unit, s.sequence_window, s.max_session_length, s.normalize_rows)
+            if own not in self.parts:
+                self.parts[own] = fit_steps(self.log, vectors, s)
+            steps = self.parts[own]
+        return Model(s, vectors, sim, steps, *self.popularity, self.categories)
+
+
+def sweep(
+    log: DataFrame, categories: DataFrame, start: Settings, axes: dict[str, list] = AXES, n: int = 10
+) -> list[tuple[str, object, float]]:
+    """Coordinate descent over ``axes``: (setting, value, hit rate on one half of the cases) of each trial; of an axis the best
+    value stays, if it beats what stood.  Last come the start's and the winner's hit rates on the other half."""
     train, cases = leave_last_out(log)
-    half = Window.orderBy(F.xxhash64("case_id", F.lit(42)), "case_id")
-    cases = cases.withColumn("rn", F.row_number().over(half)).where("rn % 2 = 0").drop("rn")
-    history = histories(train, cases)
+    train, cases = written(train, "train"), written(cases, "cases")
+    fits = Fits(train, categories)
+    tune, held = halves(cases)
+
+    def scorer(cases: DataFrame):
+        history, size = written(histories(train, cases), "history"), cases.count()
+        asked = cases.select("case_id", F.lit(None).cast("long").alias("category"))
+
+        def rate(s: Settings) -> float:
+            lists = recommend(fits.model(s), asked, history, n)
+            hits = cases.join(lists.select("case_id", F.col("itemid").alias("held")), ["case_id", "held"], "left_semi").count()
+            return hits / max(1, size)
 
-    def rate(s: Settings) -> float:
-        model = fit(train, categories, s)
-        lists = recommend(model, cases.select("case_id", F.lit(None).cast("long").alias("category")), history, n)
-        hits = cases.join(lists.select("case_id", F.col("itemid").alias("held")), ["case_id", "held"], "left_semi").count()
-        return hits / max(1, cases.count())
+        return rate
 
+    rate, first = scorer(tune), start
     best, trials = rate(start), []
     trials.append(("start", None, best))
     for axis, values in axes.items():
+        kept = start
         for value in values:
-            if value != getattr(start, axis):
-                got = rate(start.but(**{axis: value}))
+            if value != getattr(kept, axis):
+                got = rate(kept.but(**{axis: value}))
                 trials.append((axis, value, got))
                 if got > best:
-                    best, start = got, start.but(**{axis: value})
-    return trials
+                    best, start = got, kept.but(**{axis: value})
+    rate = scorer(held)
+    return [*trials, ("held out, start", None, rate(first)), ("held out, winner", None, rate(start))]

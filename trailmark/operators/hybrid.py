@@ -14,8 +14,9 @@ from trailmark.config import Settings
 from trailmark.functions.weights import quantised, with_recency
 from trailmark.operators import popularity as pop
 from trailmark.operators.sequence import sequence_scores, transitions
-from trailmark.operators.sessions import profile
+from trailmark.operators.sessions import by_unit, ordered_history, profile
 from trailmark.operators.similarity import cf_scores, co_support, history_weights, interactions, similarity
+from trailmark.sources.tables import written
 
 
 @dataclass
@@ -29,20 +30,47 @@ class Model:
     scores: DataFrame
     lists: DataFrame
     categories: DataFrame
+    #: What the log's visitors have done, if it is attached: case_id, pos, itemid, weight, last_ts.
+    history: DataFrame | None = None
 
     @property
     def catalog(self) -> DataFrame:
         return self.vectors.select("itemid").distinct()
 
 
-def fit(log: DataFrame, categories: DataFrame, s: Settings) -> Model:
-    rows = co_support(interactions(log), s.min_user_interactions, s.min_item_interactions, s.max_filter_passes)
-    catalog = rows.select("itemid").distinct()
-    scores = pop.popularity(with_recency(log))
+def fit_similarity(log: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(vectors, similarity), written.  With sessions as the unit, items are near that one session holds."""
+    rows = interactions(by_unit(log, s.co_occurrence_unit, s.session_gap_minutes), s.co_occurrence_unit)
+    rows = co_support(rows, s.min_user_interactions, s.min_item_interactions, s.max_filter_passes)
+    return rows, written(similarity(rows, s), "sim")
+
+
+def fit_popularity(log: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scores, lists), written."""
+    scores = written(pop.popularity(with_recency(log)), "scores")
     lists = pop.ranked(scores).select(F.lit(None).cast("long").alias("key"), "itemid", "rank")
-    lists = lists.unionByName(pop.by_category(scores, categories).select(F.col("categoryid").alias("key"), "itemid", "rank"))
-    steps = transitions(log, catalog, s) if s.sequence_weight > 0 else None
-    return Model(s, rows, similarity(rows, s), steps, scores, lists, categories)
+    own = pop.by_category(scores, categories).select(F.col("categoryid").alias("key"), "itemid", "rank")
+    return scores, written(lists.unionByName(own), "lists")
+
+
+def fit_steps(log: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame | None:
+    if s.sequence_weight <= 0:
+        return None
+    return written(transitions(log, vectors.select("itemid").distinct(), s), "steps")
+
+
+def fit(log: DataFrame, categories: DataFrame, s: Settings) -> Model:
+    vectors, sim = fit_similarity(log, s)
+    return Model(s, vectors, sim, fit_steps(log, vectors, s), *fit_popularity(log, categories), categories)
+
+
+def train(log: DataFrame, categories: DataFrame, s: Settings, path: str) -> Model:
+    """Fits a model, attaches the log's histories, saves it in ``path`` and gives it as it is loaded from there."""
+    from trailmark.sources import artifact
+
+    model = fit(log, categories, s)
+    model.history = ordered_history(log).withColumnRenamed("visitorid", "case_id")
+    return artifact.load(log.sparkSession, artifact.save(model, path))
 
 
 def inferred_category(history: DataFrame, categories: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.weights import quantised
+from trailmark.sources.tables import written
 
 
 def popularity(log: DataFrame, weight: str = "weight_recent") -> DataFrame:
@@ -15,10 +16,23 @@ def popularity(log: DataFrame, weight: str = "weight_recent") -> DataFrame:
 
 
 def ranked(scores: DataFrame, n: int | None = None) -> DataFrame:
-    """itemid, score, rank of the best n (a global order: only for a bounded n, or a catalog's size)."""
+    """itemid, score, rank: of the best n, or of all.
+
+    All are dealt by ranges of the order and ranked within each; the sizes of the ranges before it, one number a range,
+    are added.
+    """
     order = [F.desc(quantised(F.col("score"), 9)), F.col("itemid")]
-    top = scores.orderBy(*order).limit(n) if n else scores
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    if n:
+        top = scores.orderBy(*order).limit(n).withColumn("part", F.lit(0))
+        return top.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*order)).cast("long")).drop("part")
+    dealt = written(scores.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    before, base = 0, []
+    for part, size in sorted(tuple(r) for r in dealt.groupBy("part").count().collect()):  # as many as there are ranges
+        base.append((part, before))
+        before += size
+    base = F.broadcast(scores.sparkSession.createDataFrame(base, "part int, base long"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("rank", own.cast("long")).join(base, "part").select(*scores.columns, (F.col("rank") + F.col("base")).alias("rank"))
 
 
 def by_category(scores: DataFrame, categories: DataFrame) -> DataFrame:

@@ -16,6 +16,13 @@ def with_sessions(log: DataFrame, gap_minutes: float = 30) -> DataFrame:
     ).drop("starts")
 
 
+def by_unit(log: DataFrame, unit: str, gap_minutes: float = 30) -> DataFrame:
+    """The log with the column that ``unit`` names: a session is its visitor and number."""
+    if unit != "sessionid":
+        return log
+    return with_sessions(log, gap_minutes).withColumn("sessionid", F.struct("visitorid", "session_no"))
+
+
 def ordered_history(log: DataFrame) -> DataFrame:
     """visitorid, itemid, weight (summed), last_ts, pos (from 1, oldest first): distinct items of each visitor."""
     agg = log.groupBy("visitorid", "itemid").agg(F.sum("weight").alias("weight"), F.max("ts").alias("last_ts"))

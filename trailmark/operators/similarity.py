@@ -76,6 +76,19 @@ def similar_items(sim: DataFrame, ids: DataFrame, n: int = 10) -> DataFrame:
     return sim.join(ids, "itemid", "left_semi").where(F.col("rank") <= n)
 
 
+def known_items(history: DataFrame, catalog: DataFrame) -> DataFrame:
+    """case_id, known: how many history rows of each case are of catalog items, repeated ones included."""
+    known = history.join(catalog.withColumn("there", F.lit(1)), "itemid", "left")
+    return known.groupBy("case_id").agg(F.count("there").alias("known"))
+
+
+def is_known_item(ids: DataFrame, catalog: DataFrame) -> DataFrame:
+    """ids (itemid) with known."""
+    return ids.join(catalog.withColumn("there", F.lit(True)), "itemid", "left").select(
+        "itemid", F.coalesce("there", F.lit(False)).alias("known")
+    )
+
+
 def history_weights(profile: DataFrame, catalog: DataFrame, s: Settings) -> DataFrame:
     """case_id, itemid, w of known profile items: the scheme first, then decay by known items from the end."""
     known = profile.join(catalog, "itemid", "left_semi")

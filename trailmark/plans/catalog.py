@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -282,19 +281,22 @@ _similarity("item_similarity_plain", sim_sql("weight", False, 0, 1, 20), weight_
 _similarity("item_similarity_binary", sim_sql("1.0", True, 25, 1, 20), weight_scheme="binary", shrinkage=25.0, similarity_power=1.0, k_neighbors=20)
 
 
-@query(_with(EV, inter_sql("ev"), sim_sql()) + f"SELECT itemid, neighbor, {s6('sim')} AS sim, rank FROM sim WHERE itemid IN (3, 57) AND rank <= 5")
+@query(_with(EV, inter_sql("ev"), sim_sql()) + f"SELECT itemid, neighbor, {s6('sim')} AS sim, rank FROM sim WHERE rank <= 5")
 def similar_items(spark, d):
-    ids = spark.range(100).where("id in (3, 57)").select(F.col("id").alias("itemid"))
+    """The five nearest of every item that the log has."""
+    ids = _log(spark, d).select("itemid").distinct()
     return sm.similar_items(sm.similarity(_inter(spark, d), S), ids, 5).select("itemid", "neighbor", *q6("sim"), "rank")
 
 
 @query(
     _with(EV, inter_sql("ev"), sim_sql())
-    + f"SELECT a, b, {s6('coalesce(sim, 0.0)')} AS sim FROM (SELECT range AS a, range + 1 AS b FROM range(20)) LEFT JOIN sim ON a = itemid AND b = neighbor"
+    + f"SELECT a, b, {s6('coalesce(sim, 0.0)')} AS sim FROM (SELECT DISTINCT itemid AS a, itemid + 1 AS b FROM inter) LEFT JOIN sim ON a = itemid AND b = neighbor"
 )
 def pair_similarity(spark, d):
-    pairs = spark.range(20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    sim = sm.similarity(_inter(spark, d), S)
+    """Of every item and the one after it; 0 where they aren't near."""
+    rows = _inter(spark, d)
+    pairs = rows.select(F.col("itemid").alias("a"), (F.col("itemid") + 1).alias("b")).distinct()
+    sim = sm.similarity(rows, S)
     got = pairs.join(sim, (F.col("a") == F.col("itemid")) & (F.col("b") == F.col("neighbor")), "left")
     return got.select("a", "b", wt.quantised(F.coalesce("sim", F.lit(0.0))).alias("sim"))
 
@@ -342,9 +344,9 @@ def recent_item(spark, d):
     return sessions.recent_item(_log(spark, d))
 
 
-@query(_with(EV) + "SELECT itemid, sum(weight) AS weight FROM ev WHERE visitorid = 7 GROUP BY itemid")
+@query(_with(EV) + "SELECT visitorid, itemid, sum(weight) AS weight FROM ev GROUP BY 1, 2")
 def user_history(spark, d):
-    return _log(spark, d).where("visitorid = 7").groupBy("itemid").agg(F.sum("weight").alias("weight"))
+    return _log(spark, d).groupBy("visitorid", "itemid").agg(F.sum("weight").alias("weight"))
 
 
 @query(_with(EV, hist_sql("ev"), PROFILE) + "SELECT case_id, pos, itemid, weight FROM prof")
@@ -467,12 +469,16 @@ def hybrid_recommend(spark, d):
     return hybrid.recommend(_model(spark, d), cases, history, N).select("case_id", "rank", "itemid", *q6("score"), "source")
 
 
-_COLD = FULL.replace(hist_sql("ev"), hist_sql("(SELECT * FROM ev WHERE FALSE)"))
+_TREE_ROWS = """tree AS (SELECT CAST(n_nationkey + 100 AS BIGINT) AS categoryid, CAST(n_regionkey AS BIGINT) AS parentid FROM nation
+    UNION ALL SELECT CAST(r_regionkey AS BIGINT), NULL FROM region)"""
+_COLD = FULL.replace(hist_sql("ev"), hist_sql("(SELECT * FROM ev WHERE FALSE)")) + ", " + _TREE_ROWS
 
 
-@query(_COLD + f", cases AS (SELECT range AS case_id, CASE WHEN range % 3 = 0 THEN NULL ELSE 100 + range END AS category FROM range(60)), {RECOMMEND} " + RECS)
+@query(_COLD + f", cases AS (SELECT categoryid AS case_id, CASE WHEN categoryid % 3 = 0 THEN NULL ELSE categoryid END AS category FROM tree), {RECOMMEND} " + RECS)
 def hybrid_cold_start(spark, d):
-    cases = spark.range(60).select(F.col("id").alias("case_id"), F.when(F.col("id") % 3 != 0, F.col("id") + 100).alias("category"))
+    """A case for each category of the tree, those without items included; a third name none."""
+    ids = tables.category_tree(spark, d).select(F.col("categoryid").alias("case_id"))
+    cases = ids.withColumn("category", F.when(F.col("case_id") % 3 != 0, F.col("case_id")))
     got = hybrid.recommend(_model(spark, d), cases, _hist(spark, d).where(F.lit(False)), N)
     return got.select("case_id", "rank", "itemid", *q6("score"), "source")
 
@@ -566,8 +572,7 @@ _LATEST = """lat AS (SELECT itemid, categoryid FROM (
     SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS itemid, CAST(floor(value) AS BIGINT) AS categoryid,
            row_number() OVER (PARTITION BY json_extract_string(props, '$.k') ORDER BY epoch_us(ts) DESC, floor(value) DESC) AS rn
     FROM events WHERE event_type = 'signup') WHERE rn = 1)"""
-_TREE = """tree AS (SELECT CAST(n_nationkey + 100 AS BIGINT) AS categoryid, CAST(n_regionkey AS BIGINT) AS parentid FROM nation
-    UNION ALL SELECT CAST(r_regionkey AS BIGINT), NULL FROM region),
+_TREE = _TREE_ROWS + """,
 walk AS (
     SELECT categoryid, parentid AS up, CAST(categoryid AS VARCHAR) AS path, 0 AS depth FROM tree
     UNION ALL SELECT w.categoryid, t.parentid, w.path || ' -> ' || CAST(w.up AS VARCHAR), depth + 1
@@ -597,10 +602,13 @@ def category_path(spark, d):
     _with(EV, _TREE)
     + """SELECT itemid, 'Item ' || CAST(itemid AS VARCHAR) || CASE WHEN categoryid IS NULL THEN ' (Category unknown)'
     ELSE ' (Category ' || coalesce(path, CAST(categoryid AS VARCHAR)) || ')' END AS label
-    FROM (SELECT range AS itemid FROM range(400)) LEFT JOIN cat USING (itemid) LEFT JOIN paths USING (categoryid)"""
+    FROM (SELECT itemid FROM cat UNION SELECT itemid FROM ev) LEFT JOIN cat USING (itemid) LEFT JOIN paths USING (categoryid)"""
 )
 def item_label(spark, d):
-    rows = spark.range(400).select(F.col("id").alias("itemid")).join(tables.item_categories(spark, d), "itemid", "left")
+    """Of every part and every item of the log, known or not."""
+    categories = tables.item_categories(spark, d)
+    ids = categories.select("itemid").unionByName(_log(spark, d).select("itemid")).distinct()
+    rows = ids.join(categories, "itemid", "left")
     rows = rows.join(metadata.category_paths(tables.category_tree(spark, d)), "categoryid", "left")
     return rows.select("itemid", metadata.item_label(F.col("itemid"), F.col("categoryid"), F.col("path")).alias("label"))
 
@@ -615,9 +623,9 @@ def customer_label(spark, d):
 
 
 def _requests(spark, d):
-    """Requests made of the log: visitors' first events as JSON, times and weights missing here and there."""
+    """Requests made of the log: visitors' whole histories as JSON, times and weights missing here and there."""
     first = Window.partitionBy("visitorid").orderBy("ts", "eid")
-    rows = _log(spark, d).withColumn("rn", F.row_number().over(first)).where("rn <= 6")
+    rows = _log(spark, d).withColumn("rn", F.row_number().over(first))
     item = F.struct(
         "rn",
         F.col("itemid").alias("item_id"),
@@ -634,7 +642,7 @@ _REQ = """fst AS (SELECT *, row_number() OVER (PARTITION BY visitorid ORDER BY t
 hist AS (SELECT case_id, itemid, weight, last_ts, row_number() OVER (PARTITION BY case_id ORDER BY last_ts, rn) AS pos FROM (
     SELECT visitorid AS case_id, itemid, rn, CASE WHEN rn % 3 = 0 THEN weight / 2 WHEN event = 'view' THEN 1.0 WHEN event = 'addtocart' THEN 4.0
            WHEN event = 'transaction' THEN 10.0 ELSE 1.0 END AS weight, CASE WHEN visitorid % 2 = 0 THEN ts ELSE rn - 1 END AS last_ts
-    FROM fst WHERE rn <= 6))"""
+    FROM fst))"""
 
 
 @query(_with(EV, _REQ) + "SELECT case_id, pos, itemid, weight, last_ts FROM hist")
@@ -662,17 +670,109 @@ def requests_recommend(spark, d):
     return got.select("case_id", "rank", "itemid", *q6("score"), "source", "category", strategy)
 
 
-@query()
+def _saved(spark, d):
+    return hybrid.train(_log(spark, d), tables.item_categories(spark, d), S, tables.new_path(spark, "artifact"))
+
+
+@query(_with(EV, inter_sql("ev"), sim_sql()) + f"SELECT itemid, neighbor, {s6('sim::FLOAT::DOUBLE')} AS sim, rank FROM sim")
 def artifact_roundtrip(spark, d):
-    """The best neighbours as a saved and loaded model has them."""
-    model = _model(spark, d)
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-artifact-")
-    path = artifact.save(model, f"{at.rstrip('/')}/artifact-{spark.sparkContext.applicationId}-{abs(hash(d))}")
-    return artifact.load(spark, path).sim.where("rank <= 3").select("itemid", "neighbor", "rank")
+    """All neighbours as a saved and loaded model has them: similarities are stored as floats."""
+    return _saved(spark, d).sim.select("itemid", "neighbor", *q6("sim"), "rank")
+
+
+@query(_with(EV, hist_sql("ev")) + "SELECT case_id, pos, itemid, weight, last_ts FROM hist")
+def artifact_history(spark, d):
+    """The histories that a saved model has attached."""
+    return _saved(spark, d).history.select("case_id", "pos", "itemid", "weight", "last_ts")
+
+
+@query(
+    _with(EV, inter_sql("ev"), sim_sql(), hist_sql("ev"))
+    + "SELECT case_id, count(i.itemid) AS known FROM hist LEFT JOIN (SELECT DISTINCT itemid FROM inter WHERE itemid % 2 = 0) i USING (itemid) GROUP BY 1"
+)
+def known_item_count(spark, d):
+    """How many items of each history a catalog has that lacks the odd ones."""
+    catalog = _inter(spark, d).select("itemid").distinct().where("itemid % 2 = 0")
+    return sm.known_items(_hist(spark, d), catalog)
+
+
+@query(_with(EV, inter_sql("ev")) + "SELECT itemid, itemid IN (SELECT itemid FROM inter) AS known FROM cat")
+def known_item(spark, d):
+    catalog = _inter(spark, d).select("itemid").distinct()
+    return sm.is_known_item(tables.item_categories(spark, d).select("itemid"), catalog)
+
+
+# --- sessions as the unit, history schemes, support above one
+
+_SES = steps_sql("ev").split("known AS")[0].rstrip().rstrip(",")
+_INTER_SES = "inter AS (SELECT visitorid || ':' || sn AS unit, s.itemid, sum(weight) AS weight FROM ses s JOIN (SELECT eid AS e, weight FROM ev) ON e = s.eid GROUP BY 1, 2)"
+
+
+@query(_with(EV, _SES, _INTER_SES, sim_sql()) + f"SELECT itemid, neighbor, {s6('sim')} AS sim, rank FROM sim")
+def item_similarity_sessions(spark, d):
+    """Items are near that one session holds, whoever the visitor is."""
+    _, sim = hybrid.fit_similarity(_log(spark, d), S.but(co_occurrence_unit="sessionid"))
+    return sim.select("itemid", "neighbor", *q6("sim"), "rank")
+
+
+def _history_scheme(scheme: str, sql: str) -> None:
+    weights = f"""hw AS (
+    SELECT case_id, pos, itemid, ({sql}) * pow(0.7, row_number() OVER (PARTITION BY case_id ORDER BY pos DESC) - 1) AS w
+    FROM prof WHERE itemid IN (SELECT itemid FROM inter))"""
+
+    def run(spark, d):
+        catalog = _inter(spark, d).select("itemid").distinct()
+        got = sm.history_weights(_profile(spark, d), catalog, S.but(history_weight_scheme=scheme))
+        return got.select("case_id", "itemid", *q6("w"))
+
+    parts = _with(EV, inter_sql("ev"), hist_sql("ev"), PROFILE, weights)
+    query(parts + f"SELECT case_id, itemid, {s6('w')} AS w FROM hw", f"history_weights_{scheme}")(run)
+
+
+_history_scheme("raw", "weight")
+_history_scheme("log", "greatest(1 + ln(greatest(weight, 1e-9)), 1e-6)")
+
+_SUPPORT = ["f0 AS (SELECT visitorid AS unit, itemid, sum(weight) AS weight FROM ev GROUP BY 1, 2)"] + [
+    f"f{k + 1} AS MATERIALIZED (SELECT unit, itemid, weight FROM (SELECT *, count(*) OVER (PARTITION BY itemid) AS ni,"
+    f" count(*) OVER (PARTITION BY unit) AS nu FROM f{k}) WHERE ni >= 9 AND nu >= 40)"
+    for k in range(10)
+]
+
+
+@query(_with(EV, *_SUPPORT, "inter AS (SELECT * FROM f10)", sim_sql()) + f"SELECT itemid, neighbor, {s6('sim')} AS sim, rank FROM sim")
+def item_similarity_supported(spark, d):
+    """With visitors of 40 items and items of 9 visitors at least."""
+    _, sim = hybrid.fit_similarity(_log(spark, d), S.but(min_user_interactions=40, min_item_interactions=9))
+    return sim.select("itemid", "neighbor", *q6("sim"), "rank")
+
+
+@query(_with(EV, lists_sql("rec")) + f"SELECT itemid, {s6('score')} AS score, rank FROM lists WHERE key IS NULL")
+def popularity_ranked(spark, d):
+    """The whole catalog in order, ranked by ranges."""
+    return pop.ranked(pop.popularity(wt.with_recency(_log(spark, d)))).select("itemid", *q6("score"), "rank")
+
+
+# --- samples and tuning
+
+_DIGEST = "md5(CAST(case_id AS VARCHAR) || ':42')"
+
+
+@query(_with(EV, SPLIT) + f"SELECT case_id, held FROM held ORDER BY {_DIGEST}, case_id LIMIT 40")
+def eval_sample(spark, d):
+    """The seeded sample of 40 cases: sampling is the feature."""
+    return ev.sampled(ev.leave_last_out(_log(spark, d))[1], 40).select("case_id", "held")
+
+
+@query(_with(EV, SPLIT) + f"SELECT case_id, held, {_DIGEST} < '8' AS tunes FROM held")
+def eval_halves(spark, d):
+    tune, held = ev.halves(ev.leave_last_out(_log(spark, d))[1])
+    both = tune.withColumn("tunes", F.lit(True)).unionByName(held.withColumn("tunes", F.lit(False)))
+    return both.select("case_id", "held", "tunes")
 
 
 @query()
 def tune_sweep(spark, d):
-    trials = ev.sweep(_log(spark, d), tables.item_categories(spark, d), S, {"shrinkage": [10.0], "sequence_weight": [0.4]})
+    """Every axis and value; the held-out half at the end.  Python decides between trials, so there is no SQL."""
+    trials = ev.sweep(_log(spark, d), tables.item_categories(spark, d), S)
     rows = [(k, axis, str(value), rate) for k, (axis, value, rate) in enumerate(trials)]
     return spark.createDataFrame(rows, "trial int, axis string, value string, hit_rate double")

@@ -12,19 +12,17 @@ from trailmark.config import Settings
 from trailmark.operators.hybrid import Model
 
 VERSION = 1
-TABLES = ("vectors", "sim", "steps", "scores", "lists", "categories")
+TABLES = ("vectors", "sim", "steps", "scores", "lists", "categories", "history")
 
 
 def _narrow(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("float") for c, t in df.dtypes if t == "double"})
 
 
-def save(model: Model, path: str, history: DataFrame | None = None) -> str:
-    """Doubles are stored as floats, as they are large in number and small in need."""
+def save(model: Model, path: str) -> str:
+    """Doubles are stored as floats, as they are large in number and small in need.  An attached history goes along."""
     spark = model.vectors.sparkSession
     tables = {t: getattr(model, t) for t in TABLES if getattr(model, t) is not None}
-    if history is not None:
-        tables["history"] = history
     for name, df in tables.items():
         _narrow(df).write.mode("overwrite").parquet(f"{path}/{name}")
     manifest = json.dumps({"format_version": VERSION, "settings": asdict(model.settings), "tables": sorted(tables)})

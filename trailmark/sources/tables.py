@@ -13,14 +13,21 @@ PROPERTIES_SCHEMA = "timestamp long, itemid long, property string, value string"
 TREE_SCHEMA = "categoryid long, parentid long"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in ``spark.checkpoint.dir``, read back; a folder of our own only where that is unset."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``; only a local session may do without that."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         path = spark.sparkContext.getCheckpointDir()
-    path = f"{path.rstrip('/')}/trailmark-{name}-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/trailmark-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: cuts lineage."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -33,7 +40,11 @@ def event_weight(event: Column, weights: dict[str, float]) -> Column:
 
 
 def load_events(spark: SparkSession, path: str, weights: dict[str, float]) -> DataFrame:
-    """A click log in CSV: visitorid, itemid, ts (microseconds), eid (ties), event, weight."""
+    """A click log in CSV: visitorid, itemid, ts (microseconds), eid (ties), event, weight.
+
+    eid is the place in the log as it is read; where files or their parts may come in another order, simultaneous events of
+    a visitor may, too.
+    """
     log = spark.read.schema(EVENTS_SCHEMA).csv(path, header=True)
     return log.select(
         "visitorid",
