@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
 The histogram of piece lengths (as many rows as the capacity at most) defines the configuration LP: cover all pieces with as
-few sequences as possible, each filled by a configuration of lengths.  The LP is solved by multiplicative weights: a
-length's weight falls as it gets covered, and a knapsack dynamic program prices the configuration of most weight.
-The solution is rounded down to whole sequences; what is left goes by best fit, longest first, into the
+few sequences as possible, each filled by a configuration of lengths.  The LP is solved by multiplicative weights: prices begin
+at the lengths themselves, a length's price falls as it gets covered, and a knapsack dynamic program finds the
+configuration of most worth.  Each round covers a length at least, so all are covered after as many rounds as there are
+lengths.  The solution is rounded to whole sequences; what is left goes by best fit, longest first, into the
 smallest gap that takes it.  All of this works on (length, count) pairs, so its cost does not grow with the input.
 
 Pieces then find their slots by their rank among the pieces of equal length, counted over salted groups.
@@ -25,8 +26,8 @@ from .tokens import REMEMBERED, encoder, text_batches
 CAPACITY = 4096
 #: The LP's lengths are rounded up to multiples of capacity / UNITS; rounding back uses the true lengths.
 UNITS = 1024
-ROUNDS = 1500
-STEP = 0.5
+#: How fast prices fall, and how much longer lengths are preferred among configurations of equal worth.
+RATE, LONGER = 0.5, 1e-4
 SALTS = 4096
 
 
@@ -52,20 +53,16 @@ def price(units: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]
     return out
 
 
-def fractional(units: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict, float]]:
+def fractional(units: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[dict, float]]:
     """Configurations and how often the LP's solution uses each, by multiplicative weights."""
     cover = np.zeros(len(units))
+    share = units / capacity
     used: dict[tuple, float] = {}
-    for _ in range(rounds if len(units) else 0):
-        if cover.min() >= 1:
-            break
-        weight = np.exp(-np.clip(cover - cover.min(), 0, 60) * 4) * (cover < 1.25)
-        config = price(units, weight / demand, capacity)
-        if not config:
-            break
+    while (open_ := cover < 1 - 1e-9).any():
+        config = price(units, share * (1 + LONGER * share) * np.exp(-RATE * cover) * open_, capacity)
         at, copies = np.array(list(config)), np.array(list(config.values()))
-        times = STEP * float((demand[at] / copies).min())
-        times = max(times, min(1.0, 2 * times))
+        # As often as its scarcest length allows, but no more than some length still needs.
+        times = min(float((demand[at] / copies).min()), float(((1 - cover[at]) * demand[at] / copies).min()))
         cover[at] += times * copies / demand[at]
         key = tuple(sorted(config.items()))
         used[key] = used.get(key, 0) + times
