@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_rows
+from .common import NULL_ID, doc_rows, public_id
 from .tokens import MARKS, text_batches
 
 #: Pieces that a Python worker keeps in memory while it encodes.
@@ -204,7 +204,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     [pa.array(ids, pa.int64()), pa.array(own.encode(texts), pa.binary())], names=["doc_id", "ids"]
                 )
 
-    return doc_rows(docs).mapInArrow(encode, "doc_id long, ids binary")
+    return doc_rows(docs).mapInArrow(encode, "doc_id long, ids binary").withColumn("doc_id", public_id())
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -235,6 +235,7 @@ def round_trip(
         for batch in batches:
             for doc_ids, texts in text_batches(batch):
                 ids = own.encode(texts)
+                doc_ids = [None if k == NULL_ID else k for k in doc_ids]
                 cols = [pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
                 yield derive(own, pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"]))
 

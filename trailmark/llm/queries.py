@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact, packing, quality, rlz, rules, simhash, suffix, toxicity, wavelet
-from .common import new_path, public_id, read
+from .common import new_path, read
 
 #: byte_bpe_50k has 50,257 ids.
 BYTE_BITS = 16
@@ -37,8 +37,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    out = bpe.round_trip(read(spark, sf_dir, "documents"), *own, digest, schema)
-    return out.withColumn("doc_id", public_id())
+    return bpe.round_trip(read(spark, sf_dir, "documents"), *own, digest, schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
