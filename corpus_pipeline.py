@@ -17,7 +17,7 @@ from trailmark.llm.common import NULL_ID, read, scratch, written
 #: are 200 bytes long but for one in a hundred.  Shorter repeats are common phrases.
 WINDOW, GRAM, WORDS = 200, 32, 50
 #: Pieces that a Python worker remembers while it encodes: workers go on to other stages with what they hold.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from .common import spread_join, written
 #: Different fragments of an anchor that one task may gather.
 MOST = 2048
 #: Units in a buffer, and the bits of its positions.
-BUFFER, POSITION_BITS = 1 << 21, 22
+BUFFER, POSITION_BITS = 1 << 20, 22
 _odd = np.random.Generator(np.random.PCG64(2024)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -243,7 +243,7 @@ def repeated_starts(
             for row in zip(*(b.column(c).to_pylist() for c in KIND), strict=True):
                 if held and row[:3] == held[-1][:3]:
                     continue
-                if size > 1_500_000 and row[0] != held[-1][0]:
+                if size > 1_000_000 and row[0] != held[-1][0]:
                     yield give(held)
                     held, size = [], 0
                 held.append(row)

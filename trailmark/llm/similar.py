@@ -109,16 +109,17 @@ def _sketched(rows: DataFrame, shingle: int, count: int) -> DataFrame:
 def _tables(classes: DataFrame, bits: int, count: int, *more: str) -> DataFrame:
     """key, rep, x, y (two prints that the key isn't of) of each covering table, and the columns named in ``more``."""
     own = 64 // bits  # words of a print
-    n = len([c for c in classes.columns if c.startswith("fp")])
-    covering = masks(RADIUS, bits)
-    keys = []
+    names = [c for c in classes.columns if c.startswith("fp")]
+    covering, rows = masks(RADIUS, bits), []
     for w in range(count):
         at, shift = w // own, w % own * bits
-        others = (F.col(f"fp{(at + 1) % n}").alias("x"), F.col(f"fp{(at + 2) % n}").alias("y"))
-        for t, m in enumerate(covering):
-            key = F.xxhash64(F.lit(w * len(covering) + t), F.col(f"fp{at}").bitwiseAND(F.lit(signed(m << shift))))
-            keys.append(F.struct(key.alias("key"), *others))
-    return classes.select("rep", *more, F.explode(F.array(*keys)).alias("one")).select("one.*", "rep", *more)
+        places = [F.lit((at + k) % len(names) + 1).alias(c) for k, c in enumerate(("of", "x", "y"))]
+        rows += [F.struct(F.lit(len(rows) + t).alias("t"), F.lit(signed(m << shift)).alias("m"), *places) for t, m in enumerate(covering)]
+    # The masks are one constant, so the code doesn't grow with their number.
+    each = classes.select("rep", *more, F.array(*names).alias("prints"), F.explode(F.array(*rows)).alias("one"))
+    pick = lambda c: F.element_at("prints", F.col(f"one.{c}"))
+    key = F.xxhash64("one.t", pick("of").bitwiseAND(F.col("one.m")))
+    return each.select(key.alias("key"), pick("x").alias("x"), pick("y").alias("y"), "rep", *more)
 
 
 def _columns(b: pa.RecordBatch) -> list[np.ndarray]:

@@ -135,7 +135,7 @@ def encoder(path: str, spaced: bool, remembered: int = REMEMBERED) -> PieceEncod
     return _workers[key]
 
 
-def text_batches(batch, most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def text_batches(batch, most: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of a record batch in runs of about ``most`` characters."""
     ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
     begin = size = 0
