@@ -361,7 +361,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
 
     pairs, crowded = _candidates(classes, bits, count, most, n, block)
     links = _linked(_likely(pairs, classes, bar), sets, bar)
-    whole = written(components(links), "whole")
+    whole = components(links)
     crowded = written(crowded, "crowded")
     if crowded.take(1):
         linked = classes.join(whole, classes["rep"] == whole["u"], "left").withColumn("comp", F.coalesce("component", "rep"))
@@ -369,7 +369,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         rows, total = _tables(linked, bits, count, "comp"), n * count * len(masks(RADIUS, bits))
         more = _linked(_open(rows, crowded, linked, bar, most, block, total), sets, bar)
         if more.take(1):
-            whole = components(links.unionByName(more))
+            whole = components(whole.select("u", F.col("component").alias("v")).unionByName(more))
     named = named_by(classes.select("rk", "rep", "least"), whole)
     return found.select("doc_id", "rk").join(named, "rk").select(
         public_id().alias("doc_id"), "rk", "component", public_id("component_id").alias("component_id")
