@@ -123,8 +123,8 @@ def exact_groups(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
         names = written(_name(pairs, keys), "names")
         alone = pairs.where("alone")
         done.append(_with_stats(alone, names.where("group_size > 0"), keys))
+        # Not written: only the next round's pairs read it.
         level = pairs.where("not alone").join(names.select(*keys, "name"), keys)
-        level = written(level.select("row_id", "doc_id", "own", "n", "i", "name"), "level")
         most = (most + 1) // 2
     out = done[0]
     for x in done[1:]:
