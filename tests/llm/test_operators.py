@@ -277,6 +277,18 @@ def test_tokens_equal_the_library():
             assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokens_of_letters_whose_case_makes_marks_equal_the_library():
+    """Capitals with a dot, title-case digraphs, final sigmas, ligatures, numerals and combining marks before ASCII marks."""
+    rng = random.Random(30)
+    odd = ["İ", "ǅ", "ς", "Σ", "ß", "ẞ", "ﬁ", "ŉ", "Ⅷ", "ª", "e\u0301", "\u0307", "\u0345", "i̇", "ΐ", "Å", "ñ", "K", "😀", "文", "a", "B", "z"]
+    marks = ["!", ".", ",", "'", "''", "-", "'s", "\n", " ", "  ", "?!", "1", "\t", ""]
+    texts = ["İ!", "İ", "aİ.", "İİ?!", *("".join(rng.choice(odd if rng.random() < 0.6 else marks) for _ in range(rng.randint(1, 9))) for _ in range(6000))]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        own, library = PieceEncoder(public_tokenizers.path(name), spaced), Tokenizer.from_file(public_tokenizers.path(name))
+        for text, got in zip(texts, own.encode(texts)):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(max_size=60))
 def test_byte_pairs_equal_the_rank_library(text):

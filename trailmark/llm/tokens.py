@@ -45,9 +45,16 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _stem(self, piece: str) -> str:
-        """The letters before a run of ASCII marks, which are apart in any case; in lower case where case is dropped."""
+        """The letters before a run of ASCII marks, which are apart in any case; in lower case where case is dropped.
+
+        Empty where dropping the case gives the last letter a mark of its own, which joins the marks that follow.
+        """
         stem = piece.rstrip(MARKS)
-        return stem.lower() if not self.spaced and stem.isascii() else stem
+        if self.spaced:
+            return stem
+        if stem.isascii():
+            return stem.lower()
+        return stem if stem.lower()[-1].isalpha() else ""
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
