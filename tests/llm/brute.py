@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -133,3 +134,62 @@ def packing_faults(rows, docs, tokenizer, capacity=4096):
         if at > capacity:
             return f"sequence {s} is too long"
     return None
+
+
+def middle(i, t):
+    t = t or ""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", t)
+    n, digest = len(units), sha(f"1:{'' if i is None else i}".encode())
+    h1, h2, h3, h4 = (int(digest[8 * k : 8 * k + 8], 16) for k in range(4))
+    if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return i, n, "plain", None, None, t
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    out = f"<S>{s}<P>{p}<M>{m}" if h4 % 100 < 20 else f"<P>{p}<S>{s}<M>{m}"
+    return i, n, "spm" if h4 % 100 < 20 else "psm", len(p), len(m), out
+
+
+def lloyd(rows, k=16, rounds=3, dim=64):
+    kept = [(i, v) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [(i, [math.floor(64 * x) for x in v]) for i, v in kept]
+    order = sorted(kept, key=lambda r: (sha(f"1:{'' if r[0] is None else r[0]}".encode()), r[1]))
+    centroids = [v for _, v in order[:k]]
+
+    def assigned():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centroids)) for _, v in kept]
+
+    for _ in range(rounds):
+        at = assigned()
+        for j in range(len(centroids)):
+            own = [v for (_, v), (_, other) in zip(kept, at) if other == j]
+            if own:
+                centroids[j] = [sum(x) // len(own) for x in zip(*own)]
+    at, inertia = assigned(), Counter()
+    for d, j in at:
+        inertia[j] += d
+    shas = [sha(",".join(map(str, c)).encode()) for c in centroids]
+    return sorted(((i, j, d, inertia[j], inertia.total(), shas[j]) for (i, _), (d, j) in zip(kept, at)), key=str)
+
+
+ITEM_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contamination(docs, items, window=10):
+    words = lambda t: ITEM_WORDS.findall((t or "").translate(LOWER))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[k : k + n])].add("" if i is None else str(i))
+    out = set()
+    for i, t in docs:
+        w, hit, ids = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                own = windows.get(tuple(w[k : k + n]))
+                if own:
+                    ids |= own
+                    hit |= set(range(k, k + n))
+        out.add((i, len(w), len(hit), len(ids), ",".join(sorted(ids)), bool(hit)))
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from trailmark.llm import bpe, components, exact, packing, quality, queries, rlz, rules, similar, simhash, suffix, toxicity, wavelet
+from trailmark.llm import bpe, components, decontaminate, exact, lloyd, middle, packing, quality, queries, rlz, rules, similar, simhash, suffix, toxicity, wavelet
 from trailmark.llm.tokens import PieceEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -193,6 +193,60 @@ def test_unrelated_texts_of_null_or_one_id_stay_apart(spark):
     assert sorted(map(str, (r["component_id"] for r in found.collect()))) == ["1", "1", "5", "None", "None"]
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 512])
+def test_fill_in_middle(spark, texts, block):
+    odd = [*ODD, *texts, "x<P>y", "<S>", "a<M", "a😀b", "Ab\0c", "ab12 cd" * 40, "a" * 1200 + "é1"]
+    docs = list(enumerate(odd * 2))
+    made = middle.fill_in_middle(spark.createDataFrame(docs, "doc_id long, text string"), block=block)
+    made = made.withColumn("again", middle.rebuilt(F.col("output"), F.col("form")))
+    got = rows(made, "doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "again")
+    assert got == {(*brute.middle(i, t), t or "") for i, t in docs} and {r[2] for r in got} == {"plain", "psm", "spm"}
+
+
+@pytest.mark.parametrize(
+    "runs, pattern", [(middle.CHARACTERS, r"(?s)."), (middle.WORDS, r"[ \t-\r]+|[^ \t-\r]+"), (("0-9", "a-z", "\\n"), r"(?s)[0-9]+|[a-z]+|\n+|.")]
+)
+def test_unit_grammars(spark, texts, runs, pattern):
+    import re
+
+    odd = [*ODD, "a1b22c\n\n3😀😀é", *(t or "" for t in texts)]
+    df = spark.createDataFrame([(t,) for t in odd], "text string").select("text", middle.units(F.col("text"), runs).alias("units"))
+    assert all(r["units"] == re.findall(pattern, r["text"]) for r in df.collect())
+
+
+def test_weighted_lloyd(spark):
+    """Against plain Lloyd: repeated vectors and rows, one vector in half of all rows, large and very large components, odd vectors."""
+    rng = random.Random(2)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(100, None), (101, [1.0] * 3), (102, [1.0, None, 2.0, 3.0])]
+    vectors += [(103, [float("nan")] * 4), (104, [float("inf"), 0.0, 0.0, 0.0]), (None, [0.1] * 4), (105, [])]
+    vectors += [(200 + i, [0.5] * 4) for i in range(70)] + [(200, [0.5] * 4)] * 3
+    cols = ("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    for more in ([], [(500, [1e5, -3e4, 2.0, 1.0]), (501, [3e7, -3e7, 1e7, 0.0])]):
+        df = spark.createDataFrame(vectors + more, "vec_id long, embedding array<double>")
+        got = sorted(map(tuple, lloyd.cluster(df, dim=4).select(*cols).collect()), key=str)
+        assert got == brute.lloyd(vectors + more, dim=4)
+    few = spark.createDataFrame([(1, [1.0] * 4), (2, [-1e300] * 4)], "vec_id long, embedding array<double>")
+    assert {r["cluster"] for r in lloyd.cluster(few, dim=4).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("bits, buffer", [(26, 1 << 18), (16, 5)])
+def test_decontaminate(spark, monkeypatch, bits, buffer):
+    """Few words, so that windows are common and overlap; items of every length, of one id, without words."""
+    monkeypatch.setattr(decontaminate, "BUFFER", buffer)
+    rng = random.Random(bits)
+    some = lambda n: "".join(rng.choice(["a", "b", "é", "c1", "D", "x", "日本"]) + rng.choice([" ", "-", "\n", "  ", ", "]) for _ in range(n))
+    items = [(i, some(rng.choice([0, 1, 2, 3, 4, 5, 9, 10, 11, 15]))) for i in range(25)] + [(3, some(12)), (None, some(11)), (77, None), (78, "...")]
+    held = [t for _, t in items if t]
+    docs = [(i, some(rng.randint(0, 20)) + " " + rng.choice(held) + " " + some(rng.randint(0, 40))) for i in range(50)]
+    docs += [(60, None), (61, ""), (62, held[0]), (63, held[0].upper())]
+    own, of = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.decontaminate(own, of, bits=bits).withColumn("ids", F.array_join("items", ","))
+    assert rows(found, "doc_id", "n_words", "n_hit", "n_items", "ids", "contaminated") == brute.contamination(docs, items)
+    long = [(i, t) for i, t in items if t and t.count("a") + t.count("D") > 4]
+    found = decontaminate.decontaminate(own, spark.createDataFrame(long, "item_id long, text string"), bits=bits).withColumn("ids", F.array_join("items", ","))
+    assert rows(found, "doc_id", "n_words", "n_hit", "n_items", "ids", "contaminated") == brute.contamination(docs, long)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(7, 7), (90, 99)], "u long, v long")
     assert rows(components.components(edges), "u", "component") == {(k, 0) for k in range(1, 41)} | {(99, 90)}
@@ -433,6 +487,12 @@ def operators(labels, path):
         lambda d: bpe.decode_documents(bpe.encode_documents(d, *RANKS), *RANKS),
         round_trip,
         lambda d: shards(d, path),
+        middle.fill_in_middle,
+        lambda d: decontaminate.decontaminate(d, d.selectExpr("doc_id as item_id", "text", "'x' as words")),
+        lambda d: decontaminate.decontaminate(d, d.where("false").selectExpr("doc_id as item_id", "text")),
+        lambda d: lloyd.cluster(
+            d.selectExpr("doc_id as vec_id", "array_repeat(cast(length(text) as double), 64) as embedding", "'x' as q", "'y' as cluster")
+        ).withColumnRenamed("vec_id", "doc_id"),
     ]
 
 
@@ -467,7 +527,8 @@ def test_odd_rows(spark, tmp_path):
         got = op(df)
         got = got.where("piece = 0") if "piece" in got.columns else got
         ids = sorted(str(r["doc_id"]) for r in got.select("doc_id").collect())
-        assert ids == ["3", "3", "3", "4", "7", "9", "None"]
+        null = [] if "inertia" in got.columns else ["9"]  # a null vector isn't kept
+        assert ids == sorted(["3", "3", "3", "4", "7", *null, "None"])
 
 
 def test_odd_rows_through_the_stages(spark, monkeypatch):
@@ -565,7 +626,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     own, sql = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLES[name]).df()
     cols = sorted(own.columns)
