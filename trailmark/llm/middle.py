@@ -27,8 +27,9 @@ BLOCK = 512
 def boundary(runs: Sequence[str]) -> str:
     """Where a unit ends and another begins: before a character of no run class, and before one of a class that its left
     neighbour isn't of.  ``split`` ignores a match before the first character, and none is behind the last."""
-    single = "".join(f"(?![{c}])" for c in runs) + r"(?=[\s\S])(?<=[\s\S])"  # whole characters on both sides
-    return "|".join([single, *(f"(?=[{c}])(?<![{c}])" for c in runs)])
+    whole = r"(?<=[\s\S])"  # not within a character of two code units
+    single = "".join(f"(?![{c}])" for c in runs) + r"(?=[\s\S])"
+    return "|".join(x + whole for x in (single, *(f"(?=[{c}])(?<![{c}])" for c in runs)))
 
 
 def units(text: Column, runs: Sequence[str]) -> Column:
