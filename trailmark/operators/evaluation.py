@@ -3,30 +3,33 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.config import AXES, Settings
 from trailmark.operators import popularity as pop
-from trailmark.operators.hybrid import Model, fit_popularity, fit_similarity, fit_steps, recommend
+from trailmark.operators.hybrid import Model, fit_popularity, fit_vectors, recommend
+from trailmark.operators.sequence import transitions
 from trailmark.operators.sessions import ordered_history
-from trailmark.operators.similarity import predict_scores
+from trailmark.operators.similarity import cosines, neighbours, predict_scores
 from trailmark.sources.tables import written
 
 
 def leave_last_out(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(train log, cases (case_id, held, held_weight)): visitors with two items or more lose their last event."""
-    order = Window.partitionBy("visitorid").orderBy(F.desc("ts"), F.desc("eid"))
-    visitor = Window.partitionBy("visitorid")
-    marked = log.withColumn("rn", F.row_number().over(order)).withColumn(
-        "several", F.min("itemid").over(visitor) < F.max("itemid").over(visitor)
-    )
-    held = F.col("several") & (F.col("rn") == 1)
+    """(train log, cases (case_id, held, held_weight)): visitors with two items or more lose their last event.
+
+    What is last is combined before the shuffle and joined back, so that a visitor with a large share of the log is no task's alone.
+    """
+    last = log.groupBy("visitorid").agg(F.max(F.struct("ts", "eid")).alias("last"), (F.min("itemid") < F.max("itemid")).alias("several"))
+    marked = log.join(last, "visitorid", "left")
+    held = F.coalesce(F.col("several") & (F.col("ts") == F.col("last.ts")) & (F.col("eid") == F.col("last.eid")), F.lit(False))
     cases = marked.where(held).select(
         F.col("visitorid").alias("case_id"), F.col("itemid").alias("held"), F.col("weight").alias("held_weight")
     )
-    return marked.where(~held).drop("rn", "several"), cases
+    return marked.where(~held).drop("last", "several"), cases
 
 
 def sampled(cases: DataFrame, size: int, seed: int = 42) -> DataFrame:
@@ -94,18 +97,23 @@ def ranking_metrics(model: Model, cases: DataFrame, history: DataFrame, lists: D
 
 
 def diversity(model: Model, lists: DataFrame) -> DataFrame:
-    """Mean over lists of two catalog items or more of 1 - the mean cosine of their raw vectors, and how many lists."""
+    """Mean over lists of two catalog items or more of 1 - the mean cosine of their raw vectors, and how many lists.
+
+    The mean cosine of k unit vectors is (|their sum|^2 - k) / (k (k - 1)), so there are no pairs of items.  Equal sets of items are
+    summed up once, with the number of lists that have them.
+    """
     v = model.vectors
-    norms = v.groupBy("itemid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    rows = lists.select("case_id", "itemid").join(norms, "itemid")
-    pairs = rows.alias("a").join(rows.alias("b"), "case_id").where("a.itemid < b.itemid")
-    pairs = pairs.select("case_id", F.col("a.itemid").alias("i"), F.col("b.itemid").alias("j"), (F.col("a.norm") * F.col("b.norm")).alias("norms"))
-    wanted = pairs.select("i", "j").distinct()
-    a = v.select("unit", F.col("itemid").alias("i"), F.col("weight").alias("wa"))
-    b = v.select("unit", F.col("itemid").alias("j"), F.col("weight").alias("wb"))
-    dots = wanted.join(a, "i").join(b, ["j", "unit"]).groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    each = pairs.join(dots, ["i", "j"], "left").groupBy("case_id").agg(F.avg(F.coalesce("dot", F.lit(0.0)) / F.col("norms")).alias("c"))
-    return each.agg(F.avg(1 - F.col("c")).alias("diversity"), F.count(F.lit(1)).alias("n_lists"))
+    norms = v.groupBy("itemid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")).where("norm > 0")
+    known = lists.select("case_id", "itemid").distinct().join(norms.select("itemid"), "itemid", "left_semi")
+    sets = known.groupBy("case_id").agg(F.array_sort(F.collect_list("itemid")).alias("items"))  # as long as a list
+    sets = sets.where(F.size("items") > 1).groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    sets = written(sets.withColumn("set_id", F.monotonically_increasing_id()), "sets")
+    rows = sets.select("set_id", F.explode("items").alias("itemid")).join(norms, "itemid")
+    sums = rows.join(v, "itemid").groupBy("set_id", "unit").agg(F.sum(F.col("weight") / F.col("norm")).alias("s"))
+    squares = sums.groupBy("set_id").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    k = F.size("items")
+    each = sets.join(squares, "set_id").select("n", (1 - (F.col("square") - k) / (k * (k - 1))).alias("d"))
+    return each.agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("diversity"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_lists"))
 
 
 def novelty(model: Model, lists: DataFrame) -> DataFrame:
@@ -127,6 +135,22 @@ def rating_accuracy(model: Model, cases: DataFrame, history: DataFrame) -> DataF
     )
 
 
+#: Settings that a fit depends on, by part, and those that scoring alone does.
+UNIT = ("co_occurrence_unit", "session_gap_minutes", "min_user_interactions", "min_item_interactions", "max_filter_passes")
+SIGNAL = (*UNIT, "weight_scheme", "use_idf", "max_user_items")
+NEAR = (*SIGNAL, "shrinkage", "k_neighbors", "similarity_power")
+STEP = (*UNIT, "sequence_window", "max_session_length", "normalize_rows")
+SCORING = (
+    "history_weight_scheme",
+    "position_decay",
+    "current_session_only",
+    "max_history_items",
+    "sequence_weight",
+    "sequence_max_items",
+    "sequence_position_decay",
+)
+
+
 @dataclass
 class Fits:
     """Fits of one training log; the parts of a model that a change of settings leaves alone are fitted once."""
@@ -136,54 +160,134 @@ class Fits:
     popularity: tuple[DataFrame, DataFrame] | None = None
     parts: dict = field(default_factory=dict)
 
-    def model(self, s: Settings) -> Model:
+    def _part(self, kind: str, key: tuple, make) -> DataFrame:
+        if (kind, key) not in self.parts:
+            self.parts[kind, key] = make()
+        return self.parts[kind, key]
+
+    def _vectors(self, s: Settings) -> DataFrame:
+        return self._part("vectors", _of(s, UNIT), lambda: fit_vectors(self.log, s))
+
+    def _pairs(self, s: Settings) -> DataFrame:
+        return self._part("pairs", _of(s, SIGNAL), lambda: written(cosines(self._vectors(s), s), "cosines"))
+
+    def _near(self, several: list[Settings]) -> DataFrame:
+        """The neighbours of all fits in one table, with the fit's number: the pairs that they share are formed once."""
+        key = tuple(_of(s, NEAR) for s in several)
+        make = lambda: [neighbours(self._pairs(s), s).withColumn("fit", F.lit(k)) for k, s in enumerate(several)]
+        return self._part("sim", key, lambda: written(reduce(DataFrame.unionByName, make()), "sim"))
+
+    def _steps(self, several: list[Settings]) -> DataFrame:
+        def make() -> list[DataFrame]:
+            own = [transitions(self.log, self._vectors(s).select("itemid").distinct(), s) for s in several]
+            return [x.withColumn("step", F.lit(k)) for k, x in enumerate(own)]
+
+        key = tuple(_of(s, STEP) for s in several)
+        return self._part("steps", key, lambda: written(reduce(DataFrame.unionByName, make()), "steps"))
+
+    def model(self, trials: list[Settings]) -> Model:
+        """One model of all trials, for cases whose case_id has the number of their ``trial``: settings that differ are columns."""
         if self.popularity is None:
             self.popularity = fit_popularity(self.log, self.categories)
-        unit = (s.co_occurrence_unit, s.session_gap_minutes, s.min_user_interactions, s.min_item_interactions, s.max_filter_passes)
-        own = ("sim", *unit, s.weight_scheme, s.use_idf, s.max_user_items, s.shrinkage, s.k_neighbors, s.similarity_power)
-        if own not in self.parts:
-            self.parts[own] = fit_similarity(self.log, s)
-        vectors, sim = self.parts[own]
-        steps = None
-        if s.sequence_weight > 0:
-            own = ("steps", *unit, s.sequence_window, s.max_session_length, s.normalize_rows)
-            if own not in self.parts:
-                self.parts[own] = fit_steps(self.log, vectors, s)
-            steps = self.parts[own]
-        return Model(s, vectors, sim, steps, *self.popularity, self.categories)
+        near = list({_of(s, NEAR): s for s in trials}.values())
+        stepping = list({_of(s, STEP): s for s in trials if s.sequence_weight > 0}.values())
+        vectors = [self._vectors(s).select("itemid").distinct().withColumn("fit", F.lit(k)) for k, s in enumerate(near)]
+        number = lambda keys, names: [keys.index(_of(s, names)) if _of(s, names) in keys else None for s in trials]
+        return Model(
+            _varied(trials),
+            reduce(DataFrame.unionByName, vectors),
+            self._near(near),
+            self._steps(stepping) if stepping else None,
+            *self.popularity,
+            self.categories,
+            fit=_by_trial(number([_of(s, NEAR) for s in near], NEAR), "int"),
+            step=_by_trial(number([_of(s, STEP) for s in stepping], STEP), "int"),
+        )
+
+
+def _of(s: Settings, names: tuple[str, ...]) -> tuple:
+    return tuple(getattr(s, n) for n in names)
+
+
+def _by_trial(values: list, kind: str) -> F.Column:
+    """The value of the trial that a case belongs to."""
+    return F.get(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("case_id.trial"))
+
+
+def _varied(trials: list[Settings]) -> SimpleNamespace:
+    """The settings that scoring reads, as columns where the trials differ."""
+    out = {**trials[0].__dict__}
+    for name in SCORING:
+        values = [getattr(s, name) for s in trials]
+        if len(set(values)) > 1:
+            one = next(v for v in values if v is not None)
+            out[name] = _by_trial(values, {bool: "boolean", int: "int", float: "double", str: "string"}[type(one)])
+    return SimpleNamespace(**out)
+
+
+def hit_rates(fits: Fits, trials: list[Settings], cases: DataFrame, history: DataFrame, n: int = 10) -> list[float]:
+    """The share of ``cases`` whose held item is among n suggestions, for each trial: one plan of all, one aggregate.
+
+    history: of the cases; cases and history are read once for each trial, whose number becomes part of case_id.
+    """
+    number = F.explode(F.array(*(F.lit(k) for k in range(len(trials)))))
+
+    def tried(df: DataFrame) -> DataFrame:
+        return df.withColumn("trial", number).withColumn("case_id", F.struct("trial", F.col("case_id").alias("case"))).drop("trial")
+
+    cases = tried(cases)
+    asked = cases.select("case_id", F.lit(None).cast("long").alias("category"))
+    lists = recommend(fits.model(trials), asked, tried(history), n)
+    found = cases.join(lists.select("case_id", F.col("itemid").alias("held"), F.lit(1).alias("hit")), ["case_id", "held"], "left")
+    rates = found.groupBy("case_id.trial").agg(F.avg(F.coalesce("hit", F.lit(0)))).collect()  # a row a trial
+    return [dict(map(tuple, rates)).get(k, 0.0) for k in range(len(trials))]
+
+
+@dataclass
+class Scorer:
+    """One half of the cases of a log, ready for trials."""
+
+    fits: Fits
+    cases: DataFrame
+    history: DataFrame
+
+    def rates(self, trials: list[Settings], n: int = 10) -> list[float]:
+        return hit_rates(self.fits, trials, self.cases, self.history, n)
+
+
+def scorers(log: DataFrame, categories: DataFrame) -> tuple[Scorer, Scorer]:
+    """(of the cases to tune on, of those held out), with the fits in common."""
+    train, cases = leave_last_out(log)
+    train = written(train, "train")
+    fits, out = Fits(train, categories), []
+    for own in halves(written(cases, "cases")):
+        out.append(Scorer(fits, own, written(histories(train, own), "history")))
+    return out[0], out[1]
 
 
 def sweep(
     log: DataFrame, categories: DataFrame, start: Settings, axes: dict[str, list] = AXES, n: int = 10
 ) -> list[tuple[str, object, float]]:
     """Coordinate descent over ``axes``: (setting, value, hit rate on one half of the cases) of each trial; of an axis the best
-    value stays, if it beats what stood.  Last come the start's and the winner's hit rates on the other half."""
-    train, cases = leave_last_out(log)
-    train, cases = written(train, "train"), written(cases, "cases")
-    fits = Fits(train, categories)
-    tune, held = halves(cases)
-
-    def scorer(cases: DataFrame):
-        history, size = written(histories(train, cases), "history"), cases.count()
-        asked = cases.select("case_id", F.lit(None).cast("long").alias("category"))
-
-        def rate(s: Settings) -> float:
-            lists = recommend(fits.model(s), asked, history, n)
-            hits = cases.join(lists.select("case_id", F.col("itemid").alias("held")), ["case_id", "held"], "left_semi").count()
-            return hits / max(1, size)
-
-        return rate
+    value stays, if it beats what stood.  Last come the start's and the winner's hit rates on the other half.
 
-    rate, first = scorer(tune), start
-    best, trials = rate(start), []
-    trials.append(("start", None, best))
+    The trials of an axis differ from what stood before it, so they are scored in one plan.
+    """
+    tune, held = scorers(log, categories)
+    first, best = start, None
+    out: list[tuple[str, object, float]] = []
     for axis, values in axes.items():
         kept = start
-        for value in values:
-            if value != getattr(kept, axis):
-                got = rate(kept.but(**{axis: value}))
-                trials.append((axis, value, got))
-                if got > best:
-                    best, start = got, kept.but(**{axis: value})
-    rate = scorer(held)
-    return [*trials, ("held out, start", None, rate(first)), ("held out, winner", None, rate(start))]
+        tried = [v for v in values if v != getattr(kept, axis)]
+        trials = [kept.but(**{axis: v}) for v in tried]
+        if best is None:  # the start is scored with the first axis
+            best, *rates = tune.rates([kept, *trials], n)
+            out.append(("start", None, best))
+        else:
+            rates = tune.rates(trials, n) if trials else []
+        for value, trial, got in zip(tried, trials, rates, strict=True):
+            out.append((axis, value, got))
+            if got > best:
+                best, start = got, trial
+    before, after = held.rates([first, start], n)
+    return [*out, ("held out, start", None, before), ("held out, winner", None, after)]

@@ -31,12 +31,17 @@ def transitions(log: DataFrame, catalog: DataFrame, s: Settings) -> DataFrame:
     return raw.join(total, "prev_item").select("prev_item", "next_item", (F.col("p") / F.col("total")).alias("p"))
 
 
-def sequence_scores(profile: DataFrame, steps: DataFrame, s: Settings) -> DataFrame:
-    """case_id, itemid, score: decay counts all of the last items, known or not; event weights don't matter."""
+def sequence_scores(profile: DataFrame, steps: DataFrame, s) -> DataFrame:
+    """case_id, itemid, score: decay counts all of the last items, known or not; event weights don't matter.
+
+    s: Settings; sequence_max_items and sequence_position_decay may be columns of the profile.  Where steps has a column ``step``, the
+    profile has one, too, and tells which steps a case takes.
+    """
     back = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("pos"))) - 1
     last = profile.withColumn("back", back)
-    if s.sequence_max_items:
-        last = last.where(F.col("back") < s.sequence_max_items)
-    last = last.withColumn("w", F.pow(F.lit(s.sequence_position_decay), F.col("back")))
-    got = last.join(steps, last["itemid"] == steps["prev_item"]).groupBy("case_id", F.col("next_item").alias("itemid"))
+    if s.sequence_max_items is not None:
+        last = last.where(F.coalesce(F.col("back") < F.lit(s.sequence_max_items), F.lit(True)))
+    last = last.withColumn("w", F.pow(F.lit(s.sequence_position_decay), F.col("back"))).withColumn("prev_item", F.col("itemid"))
+    on = ["prev_item", *(c for c in ("step",) if c in steps.columns)]
+    got = last.select("case_id", "w", *on).join(steps, on).groupBy("case_id", F.col("next_item").alias("itemid"))
     return got.agg(F.sum(F.col("w") * F.col("p")).alias("score"))

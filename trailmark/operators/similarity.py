@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.config import Settings
 from trailmark.functions.weights import quantised, saturated, user_idf
-from trailmark.sources.tables import written
+from trailmark.sources.tables import written, written_counted
 
 
 def interactions(log: DataFrame, unit: str = "visitorid") -> DataFrame:
@@ -17,19 +17,33 @@ def interactions(log: DataFrame, unit: str = "visitorid") -> DataFrame:
 def co_support(rows: DataFrame, min_units: int, min_items: int, passes: int = 10) -> DataFrame:
     """Drops units with fewer than ``min_units`` items and items with fewer than ``min_items`` units until none is left.
 
-    Both counts of a pass are of the same rows.  Counts are combined before the shuffle; each pass is written.
+    Both counts of a pass are of the same rows.  Peeling by deltas: rows and counts are written once, and a pass writes only
+    the rows that it drops.  What the next pass drops is sought among the units and items that lost rows in this one, whose
+    counts are the first ones less all that was lost.  Survivors are written once, at the end.
     """
-    rows = written(rows, "interactions")
-    n = rows.count()
+    rows = written(rows.select("unit", "itemid", "weight"), "interactions")
+    if min_units <= 1 and min_items <= 1:
+        return rows
+    least = {"unit": min_units, "itemid": min_items}
+    counts = {c: written(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "counts") for c in least}
+    few = {c: counts[c].where(F.col("n") < k).select(c) for c, k in least.items()}
+    lost: DataFrame | None = None  # of all passes so far: unit, itemid, and whether the one or the other was dropped
     for _ in range(passes):
-        items = rows.groupBy("itemid").count().where(F.col("count") >= min_items).select("itemid")
-        units = rows.groupBy("unit").count().where(F.col("count") >= min_units).select("unit")
-        rows = written(rows.join(items, "itemid", "left_semi").join(units, "unit", "left_semi"), "pass")
-        left = rows.count()
-        if left in (0, n):
+        marked = rows.select("unit", "itemid")
+        for c in least:
+            marked = marked.join(few[c].withColumn(f"by_{c}", F.lit(True)), c, "left")
+        marked = marked.where("by_unit or by_itemid").select("unit", "itemid", *(F.coalesce(f"by_{c}", F.lit(False)).alias(f"by_{c}") for c in least))
+        if lost is not None:
+            marked = marked.join(lost, ["unit", "itemid"], "left_anti")
+        delta, n = written_counted(marked, "dropped")
+        if not n:
             break
-        n = left
-    return rows.select("unit", "itemid", "weight")
+        lost = delta if lost is None else lost.unionByName(delta)
+        for c, k in least.items():
+            touched = delta.where(f"not by_{c}").select(c).distinct()
+            gone = lost.join(touched, c, "left_semi").groupBy(c).agg(F.count(F.lit(1)).alias("gone"))
+            few[c] = counts[c].join(gone, c).where(F.col("n") - F.col("gone") < k).select(c)
+    return rows if lost is None else written(rows.join(lost, ["unit", "itemid"], "left_anti"), "supported")
 
 
 def bot_filtered(rows: DataFrame, max_items: int | None) -> DataFrame:
@@ -48,21 +62,44 @@ def signal(rows: DataFrame, s: Settings) -> DataFrame:
     return out.select("unit", "itemid", "w")
 
 
-def similarity(rows: DataFrame, s: Settings) -> DataFrame:
-    """itemid, neighbor, sim, rank: shrunk cosine of signals, the best ``k_neighbors`` of each item.
+def _pairs_of_units(unit: DataFrame, block: int) -> DataFrame:
+    """unit (unit, itemid, w) -> i, j, product: the items of a unit two by two, i < j.
 
-    Pairs are formed within a unit, at most max_user_items^2 / 2 of them, upper triangle only, and combined before
-    the shuffle by pair.
+    The items of a unit are dealt to blocks of about ``block``, and pairs of blocks are the keys of the join: no task holds more than the
+    square of a block for a key, however many items a unit has.
     """
+    sizes = unit.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
+    dealt = unit.join(sizes, "unit").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("itemid"), F.col("blocks")).cast("int"))
+    lower = dealt.withColumn("hi", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    upper = dealt.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    a = lower.select("unit", F.col("own").alias("lo"), "hi", F.col("itemid").alias("i"), F.col("w").alias("wi"))
+    b = upper.select("unit", "lo", F.col("own").alias("hi"), F.col("itemid").alias("j"), F.col("w").alias("wj"))
+    pairs = a.join(b, ["unit", "lo", "hi"]).where("lo < hi or i < j")
+    return pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("wi") * F.col("wj")).alias("product"))
+
+
+#: Items of a unit that are multiplied in one go.
+BLOCK = 256
+
+
+def cosines(rows: DataFrame, s: Settings, block: int = BLOCK) -> DataFrame:
+    """i, j, cosine, co (units that have both): pairs of items, i < j, combined before the shuffle by pair."""
     w = signal(rows, s)
     norms = w.groupBy("itemid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
     unit = w.join(norms, "itemid").select("unit", "itemid", (F.col("w") / F.col("norm")).alias("w"))
-    a, b = unit.alias("a"), unit.alias("b")
-    pairs = (
-        a.join(b, (F.col("a.unit") == F.col("b.unit")) & (F.col("a.itemid") < F.col("b.itemid")))
-        .groupBy(F.col("a.itemid").alias("i"), F.col("b.itemid").alias("j"))
-        .agg(F.sum(F.col("a.w") * F.col("b.w")).alias("cosine"), F.count(F.lit(1)).alias("co"))
-    )
+    if s.max_user_items is not None and s.max_user_items <= block:
+        a, b = unit.alias("a"), unit.alias("b")
+        pairs = a.join(b, (F.col("a.unit") == F.col("b.unit")) & (F.col("a.itemid") < F.col("b.itemid"))).select(
+            F.col("a.itemid").alias("i"), F.col("b.itemid").alias("j"), (F.col("a.w") * F.col("b.w")).alias("product")
+        )
+    else:
+        pairs = _pairs_of_units(unit, block)
+    return pairs.groupBy("i", "j").agg(F.sum("product").alias("cosine"), F.count(F.lit(1)).alias("co"))
+
+
+def neighbours(pairs: DataFrame, s: Settings) -> DataFrame:
+    """itemid, neighbor, sim, rank: shrunk cosines, the best ``k_neighbors`` of each item."""
     shrink = F.col("co") / (F.col("co") + s.shrinkage) if s.shrinkage else F.lit(1.0)
     pairs = pairs.withColumn("sim", F.col("cosine") * shrink).where("sim <> 0")
     both = F.explode(F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
@@ -72,6 +109,18 @@ def similarity(rows: DataFrame, s: Settings) -> DataFrame:
     return top.withColumn("sim", F.pow("sim", F.lit(s.similarity_power)))
 
 
+def similarity(rows: DataFrame, s: Settings) -> DataFrame:
+    """itemid, neighbor, sim, rank of interactions (unit, itemid, weight)."""
+    return neighbours(cosines(rows, s), s)
+
+
+def with_categories(similar: DataFrame, categories: DataFrame) -> DataFrame:
+    """Similar items (itemid, neighbor, ...) with the categories of both, null where unknown."""
+    own = categories.select("itemid", F.col("categoryid").alias("category"))
+    near = categories.select(F.col("itemid").alias("neighbor"), F.col("categoryid").alias("neighbor_category"))
+    return similar.join(own, "itemid", "left").join(near, "neighbor", "left")
+
+
 def similar_items(sim: DataFrame, ids: DataFrame, n: int = 10) -> DataFrame:
     return sim.join(ids, "itemid", "left_semi").where(F.col("rank") <= n)
 
@@ -89,22 +138,30 @@ def is_known_item(ids: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def history_weights(profile: DataFrame, catalog: DataFrame, s: Settings) -> DataFrame:
-    """case_id, itemid, w of known profile items: the scheme first, then decay by known items from the end."""
-    known = profile.join(catalog, "itemid", "left_semi")
-    w = {
-        "raw": F.col("weight"),
-        "binary": F.lit(1.0),
-        "log": F.greatest(1 + F.ln(F.greatest("weight", F.lit(1e-9))), F.lit(1e-6)),
-    }[s.history_weight_scheme]
+def _by(a: DataFrame, b: DataFrame, *names: str) -> list[str]:
+    """The columns to join by: ``fit``, too, where each row tells of which fit it is."""
+    return [*names, *(c for c in ("fit",) if c in a.columns and c in b.columns)]
+
+
+def history_weights(profile: DataFrame, catalog: DataFrame, s) -> DataFrame:
+    """case_id, pos, itemid, w of known profile items: the scheme first, then decay by known items from the end.
+
+    s: Settings; history_weight_scheme and position_decay may be columns of the profile.
+    """
+    known = profile.join(catalog, _by(profile, catalog, "itemid"), "left_semi")
+    log_ = F.greatest(1 + F.ln(F.greatest("weight", F.lit(1e-9))), F.lit(1e-6))
+    scheme = F.lit(s.history_weight_scheme)
+    w = F.when(scheme == "raw", F.col("weight")).when(scheme == "binary", F.lit(1.0)).when(scheme == "log", log_)
     back = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("pos"))) - 1
-    return known.withColumn("w", w * F.pow(F.lit(s.position_decay), back)).select("case_id", "pos", "itemid", "w")
+    more = [c for c in ("fit",) if c in profile.columns]
+    return known.withColumn("w", w * F.pow(F.lit(s.position_decay), back)).select("case_id", "pos", "itemid", "w", *more)
 
 
 def cf_scores(weights: DataFrame, sim: DataFrame, profile: DataFrame) -> DataFrame:
     """case_id, itemid, score of items that aren't in the profile."""
-    rows = sim.select("itemid", F.col("neighbor").alias("candidate"), "sim")
-    got = weights.join(rows, "itemid").groupBy("case_id", F.col("candidate").alias("itemid"))
+    on = _by(weights, sim, "itemid")
+    rows = sim.select(*on, F.col("neighbor").alias("candidate"), "sim")
+    got = weights.join(rows, on).groupBy("case_id", F.col("candidate").alias("itemid"))
     return got.agg(F.sum(F.col("w") * F.col("sim")).alias("score")).join(profile, ["case_id", "itemid"], "left_anti")
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmark.config import TUNED
+from trailmark.config import AXES, TUNED
 from trailmark.functions import weights as wt
 from trailmark.operators import evaluation as ev
 from trailmark.operators import hybrid, metadata, sequence, sessions
 from trailmark.operators import popularity as pop
 from trailmark.operators import similarity as sm
-from trailmark.sources import artifact, tables
+from trailmark.sources import artifact, merged, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,10 +66,12 @@ def inter_sql(log: str) -> str:
     return f"inter AS (SELECT visitorid AS unit, itemid, sum(weight) AS weight FROM {log} GROUP BY 1, 2)"
 
 
-def sim_sql(scheme: str = "1 + ln(weight)", idf: bool = True, shrinkage: float = 50, power: float = 0.5, k: int = 10) -> str:
+def sim_sql(
+    scheme: str = "1 + ln(weight)", idf: bool = True, shrinkage: float = 50, power: float = 0.5, k: int = 10, most: int = 55
+) -> str:
     idf_sql = "ln(1 + (SELECT count(DISTINCT itemid) FROM inter) / (1 + count(*) OVER (PARTITION BY unit)))" if idf else "1.0"
     shrink = f"co / (co + {shrinkage})" if shrinkage else "1.0"
-    return f"""kept AS (SELECT * FROM inter WHERE unit IN (SELECT unit FROM inter GROUP BY unit HAVING count(*) <= 55)),
+    return f"""kept AS (SELECT * FROM inter WHERE unit IN (SELECT unit FROM inter GROUP BY unit HAVING count(*) <= {most})),
 sig AS (SELECT unit, itemid, ({scheme}) * {idf_sql} AS w FROM kept),
 nrm AS (SELECT unit, itemid, w / sqrt(sum(w * w) OVER (PARTITION BY itemid)) AS w FROM sig),
 prs AS (SELECT a.itemid AS i, b.itemid AS j, sum(a.w * b.w) AS c, count(*) AS co
@@ -281,6 +284,23 @@ _similarity("item_similarity_plain", sim_sql("weight", False, 0, 1, 20), weight_
 _similarity("item_similarity_binary", sim_sql("1.0", True, 25, 1, 20), weight_scheme="binary", shrinkage=25.0, similarity_power=1.0, k_neighbors=20)
 
 
+#: No visitor is a bot here: the largest are dealt in blocks.
+_similarity("item_similarity_all_visitors", sim_sql(most=10**9), max_user_items=None)
+
+
+@query(
+    _with(EV, inter_sql("ev"), sim_sql())
+    + f"""SELECT s.itemid, neighbor, {s6("sim")} AS sim, rank, a.categoryid AS category, b.categoryid AS neighbor_category
+    FROM sim s LEFT JOIN cat a ON a.itemid = s.itemid LEFT JOIN cat b ON b.itemid = neighbor"""
+)
+def similar_items_categories(spark, d):
+    """The neighbours of every item with the categories of both."""
+    rows = _inter(spark, d)
+    found = sm.similar_items(sm.similarity(rows, S), rows.select("itemid").distinct(), S.k_neighbors)
+    found = sm.with_categories(found, tables.item_categories(spark, d))
+    return found.select("itemid", "neighbor", *q6("sim"), "rank", "category", "neighbor_category")
+
+
 @query(_with(EV, inter_sql("ev"), sim_sql()) + f"SELECT itemid, neighbor, {s6('sim')} AS sim, rank FROM sim WHERE rank <= 5")
 def similar_items(spark, d):
     """The five nearest of every item that the log has."""
@@ -580,24 +600,58 @@ walk AS (
 paths AS (SELECT categoryid, max_by(path, depth) AS path FROM walk GROUP BY 1)"""
 
 
-@query(_with(_LATEST) + "SELECT itemid, categoryid FROM lat")
-def category_latest(spark, d):
+def _properties(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'signup'")
-    return metadata.latest_category(
-        e.select(
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"),
-            F.get_json_object("props", "$.k").cast("long").alias("itemid"),
-            F.lit("categoryid").alias("property"),
-            F.floor("value").cast("string").alias("value"),
-        )
+    return e.select(
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.get_json_object("props", "$.k").cast("long").alias("itemid"),
+        F.lit("categoryid").alias("property"),
+        F.floor("value").cast("string").alias("value"),
     )
 
 
+@query(_with(_LATEST) + "SELECT itemid, categoryid FROM lat")
+def category_latest(spark, d):
+    return metadata.latest_category(_properties(spark, d))
+
+
+@query(_with(_LATEST) + "SELECT itemid, categoryid FROM lat")
+def category_map_merged(spark, d):
+    """A stored map that gets the later half of the properties first, then the earlier one."""
+    path, rows = tables.new_path(spark, "categories"), _properties(spark, d)
+    middle = rows.agg(F.median("timestamp").alias("middle"))
+    rows = tables.written(rows.join(F.broadcast(middle)), "properties")
+    for half in (F.col("timestamp") > F.col("middle"), F.col("timestamp") <= F.col("middle")):
+        merged.merge_categories(path, rows.where(half).drop("middle"))
+    return merged.category_map(spark, path)
+
+
 @query(_with(_TREE) + "SELECT categoryid, path FROM paths")
 def category_path(spark, d):
     return metadata.category_paths(tables.category_tree(spark, d))
 
 
+_CHAIN = """tree AS (
+    SELECT p_partkey AS categoryid, CASE WHEN (p_partkey - 1) % 40 > 0 THEN p_partkey - 1
+           WHEN (p_partkey - 1) // 40 % 2 = 1 THEN least(p_partkey + 39, (SELECT max(p_partkey) FROM part)) END AS parentid FROM part),
+walk AS (
+    SELECT categoryid, parentid AS up, [categoryid] AS seen FROM tree
+    UNION ALL SELECT w.categoryid, t.parentid, list_append(seen, w.up)
+    FROM walk w LEFT JOIN tree t ON t.categoryid = w.up WHERE w.up IS NOT NULL AND NOT list_contains(seen, w.up)),
+paths AS (SELECT categoryid, array_to_string(max_by(seen, len(seen)), ' -> ') AS path FROM walk GROUP BY 1)"""
+
+
+@query(_with(_CHAIN) + "SELECT categoryid, path FROM paths")
+def category_path_whole(spark, d):
+    """Parts as categories, forty to a chain; every other chain is closed to a ring.  Whole paths, each category once."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("categoryid"))
+    last = part.agg(F.max("categoryid").alias("last"))
+    c, ring = F.col("categoryid"), F.floor((F.col("categoryid") - 1) / 40) % 2 == 1
+    parent = F.when((c - 1) % 40 > 0, c - 1).when(ring, F.least(c + 39, F.col("last")))
+    tree = part.join(F.broadcast(last)).select("categoryid", parent.alias("parentid"))
+    return metadata.category_paths(tree, None)
+
+
 @query(
     _with(EV, _TREE)
     + """SELECT itemid, 'Item ' || CAST(itemid AS VARCHAR) || CASE WHEN categoryid IS NULL THEN ' (Category unknown)'
@@ -686,6 +740,31 @@ def artifact_history(spark, d):
     return _saved(spark, d).history.select("case_id", "pos", "itemid", "weight", "last_ts")
 
 
+@query(_with(EV, hist_sql("ev")) + "SELECT case_id, pos, itemid, weight, last_ts FROM hist")
+def artifact_history_merged(spark, d):
+    """The histories of a saved model that the two halves of the log were attached to, the later one first."""
+    log, path = _log(spark, d), tables.new_path(spark, "artifact")
+    middle = log.agg(F.median("ts").alias("middle"))
+    log = tables.written(log.join(F.broadcast(middle)), "log")
+    hybrid.train(log.drop("middle"), tables.item_categories(spark, d), S, path, with_history=False)
+    for half in (F.col("ts") > F.col("middle"), F.col("ts") <= F.col("middle")):
+        artifact.attach_history(log.where(half).drop("middle"), path)
+    return artifact.load(spark, path).history.select("case_id", "pos", "itemid", "weight", "last_ts")
+
+
+@query(_with(EV) + "SELECT visitorid AS case_id, itemid FROM (SELECT *, row_number() OVER (PARTITION BY visitorid ORDER BY ts DESC, eid) AS rn FROM ev) WHERE rn = 1")
+def artifact_recent(spark, d):
+    """Each visitor's latest item as a saved model has it attached."""
+    return _saved(spark, d).recent.select("case_id", "itemid")
+
+
+@query(_with(EV, inter_sql("ev")) + "SELECT TRUE AS ready, count(DISTINCT itemid) AS catalog_size FROM inter")
+def artifact_state(spark, d):
+    """Whether a loaded model can be scored with, and how many items it knows."""
+    model = _saved(spark, d)
+    return model.catalog.agg(F.lit(model.ready).alias("ready"), F.count(F.lit(1)).alias("catalog_size"))
+
+
 @query(
     _with(EV, inter_sql("ev"), sim_sql(), hist_sql("ev"))
     + "SELECT case_id, count(i.itemid) AS known FROM hist LEFT JOIN (SELECT DISTINCT itemid FROM inter WHERE itemid % 2 = 0) i USING (itemid) GROUP BY 1"
@@ -770,9 +849,35 @@ def eval_halves(spark, d):
     return both.select("case_id", "held", "tunes")
 
 
+def _axis(axis: str, values: list, changed) -> None:
+    """The hit rates of an axis's trials on the half of the cases to tune on.  changed: gives the SQL of all that a value changes."""
+    shared = [EV, SPLIT, inter_sql("train"), f"cases AS (SELECT case_id, CAST(NULL AS BIGINT) AS category FROM held WHERE {_DIGEST} < '8')"]
+    shared += ["hist0 AS (SELECT * FROM train WHERE visitorid IN (SELECT case_id FROM cases))", hist_sql("hist0"), lists_sql("train"), steps_sql("train")]
+    rates = []
+    for k, value in enumerate(values):
+        parts = ",\n".join([*changed(value), RECOMMEND])
+        names = re.findall(r"(?m)^(\w+) AS (?:MATERIALIZED )?\(", parts)
+        shared.append(re.sub(rf"\b({'|'.join(names)})\b", rf"\1_{k}", parts))
+        hit = f"(SELECT 1 FROM recs_{k} r WHERE r.case_id = h.case_id AND r.itemid = h.held)"
+        rates.append(f"SELECT '{value}' AS value, {s6(f'avg(CAST(EXISTS {hit} AS INT))')} AS hit_rate FROM held h WHERE {_DIGEST} < '8'")
+
+    def run(spark, d):
+        tune, _ = ev.scorers(_log(spark, d), tables.item_categories(spark, d))
+        got = tune.rates([S.but(**{axis: v}) for v in values], N)
+        return spark.createDataFrame([(str(v), r) for v, r in zip(values, got, strict=True)], "value string, hit_rate double").select("value", *q6("hit_rate"))
+
+    query(_with(*shared) + " UNION ALL ".join(rates), f"tune_{axis}")(run)
+
+
+_REST = [PROFILE, WEIGHTS, CF, SEQ, BLEND]
+_axis("position_decay", AXES["position_decay"], lambda v: [sim_sql(), PROFILE, WEIGHTS.replace("pow(0.7", f"pow({v}"), CF, SEQ, BLEND])
+_axis("shrinkage", AXES["shrinkage"], lambda v: [sim_sql(shrinkage=v), *_REST])
+_axis("max_history_items", AXES["max_history_items"], lambda v: [sim_sql(), PROFILE.replace("back <= 5", f"back <= {v or 10**9}"), *_REST[1:]])
+
+
 @query()
 def tune_sweep(spark, d):
-    """Every axis and value; the held-out half at the end.  Python decides between trials, so there is no SQL."""
+    """Every axis and value; the held-out half at the end.  Python decides between axes, so there is no SQL; tune_* have it."""
     trials = ev.sweep(_log(spark, d), tables.item_categories(spark, d), S)
     rows = [(k, axis, str(value), rate) for k, (axis, value, rate) in enumerate(trials)]
     return spark.createDataFrame(rows, "trial int, axis string, value string, hit_rate double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 EVENTS_SCHEMA = "timestamp long, visitorid long, event string, itemid long, transactionid long"
@@ -32,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written``, and how many rows there are, counted while they are written."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get.get("n", 0)
+
+
 def event_weight(event: Column, weights: dict[str, float]) -> Column:
     out = F.when(F.lit(False), F.lit(1.0))
     for name, w in weights.items():
