@@ -191,6 +191,7 @@ def recommend(model: Model, cases: DataFrame, history: DataFrame, n: int = 10) -
         .withColumn("rank", F.row_number().over(order).cast("long"))
         .where(F.col("rank") <= n)
     )
+    top = written(top, "top")  # n rows a case, read three times
     chosen = top.groupBy("case_id").agg(F.count(F.lit(1)).alias("chosen"))
     guess = inferred_category(history, model.categories).withColumnRenamed("category", "guess")
     keys = model.lists.where("key is not null").select(F.col("key").alias("category")).distinct().withColumn("there", F.lit(True))
