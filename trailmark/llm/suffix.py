@@ -45,7 +45,6 @@ def refine(rows: list[tuple], window: int = WINDOW) -> tuple[list[Spans], list[S
     starts = np.cumsum(lengths) - lengths
     group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
     alone = np.array(copies) == 1
-    plain = np.repeat(np.bincount(group)[group] <= 2, lengths)
     alone = np.repeat(alone, lengths)
     offset = np.arange(len(data)) - np.repeat(starts, lengths)
     aligned = np.repeat(group << 32, lengths) + offset - np.repeat(rel, lengths)
@@ -59,8 +58,6 @@ def refine(rows: list[tuple], window: int = WINDOW) -> tuple[list[Spans], list[S
     wants = np.repeat(counts, lengths) > offset  # windows start here
     depth = 8
     wants &= _all_over(shared, window - depth + 1)
-    settled = wants & plain  # at most two fragments: equal at each step, so equal
-    wants &= ~settled
     while depth < window and wants.any():
         step = min(depth, window - depth)
         at = np.flatnonzero(_reach(wants, window - depth - step + 1))
@@ -70,10 +67,9 @@ def refine(rows: list[tuple], window: int = WINDOW) -> tuple[list[Spans], list[S
         shared[at] = more
         depth += step
         wants &= _all_over(shared, window - depth + 1)
-    hit = settled | wants
     out = []
     for s, n in zip(starts.tolist(), counts.tolist(), strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[s : s + n].view(np.int8), [0]])))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], wants[s : s + n].view(np.int8), [0]])))
         out.append([(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)])
     return out, out
 
