@@ -91,7 +91,7 @@ def parities(own: np.ndarray) -> bytes:
 
 
 def _sketched(rows: DataFrame, shingle: int, count: int) -> DataFrame:
-    """doc_id, rk, n (the size of the set), bits (its parities) and its prints fp0, fp1, ..."""
+    """doc_id, rk, rk2, n (the size of the set), bits (its parities) and its prints fp0, fp1, ..."""
     names = [f"fp{k}" for k in range(count)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +100,10 @@ def _sketched(rows: DataFrame, shingle: int, count: int) -> DataFrame:
             own = np.array([prints(x, count) for x in sets], np.int64).reshape(-1, count)
             sizes = pa.array(np.array([len(x) for x in sets], np.int64))
             bits = pa.array([parities(x) for x in sets], pa.binary())
-            cols = [b.column("doc_id"), b.column("rk"), sizes, bits, *map(pa.array, np.ascontiguousarray(own.T))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rk", "n", "bits", *names])
+            cols = [*(b.column(c) for c in ("doc_id", "rk", "rk2")), sizes, bits, *map(pa.array, np.ascontiguousarray(own.T))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rk", "rk2", "n", "bits", *names])
 
-    return rows.mapInArrow(each, "doc_id long, rk long, n long, bits binary, " + ", ".join(f"{c} long" for c in names))
+    return rows.mapInArrow(each, "doc_id long, rk long, rk2 long, n long, bits binary, " + ", ".join(f"{c} long" for c in names))
 
 
 def _tables(classes: DataFrame, bits: int, count: int, *more: str) -> DataFrame:
@@ -235,16 +235,65 @@ def _hot(classes: DataFrame, bits: int, count: int, n: int, block: int) -> DataF
     return written(often.select("key", parts.alias("parts")).where("parts > 1"), "hot")
 
 
+def _headed(met: DataFrame, most: int, block: int) -> Iterator[DataFrame]:
+    """What the leaders of salted buckets give among themselves, as MET.
+
+    Leaders of one key are dealt to buckets of about ``block`` again, which leaves one for each group of near ones and bucket, until
+    the key fits one bucket.  Where that no longer halves them, they are far from each other, and meet in blocks two by two.
+    """
+
+    def heads_of(found: DataFrame) -> DataFrame:
+        return found.where("u is not null and v is null").select("key", F.col("u").alias("rep"), "x", "y")
+
+    heads = written(heads_of(met), "heads")
+    n, turn = heads.count(), 0
+    while n:
+        sizes = heads.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
+        dealt = heads.join(written(sizes.withColumn("parts", (F.col("count") / block + 1).cast("long")), "parts"), "key")
+        salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.lit(turn), "rep"), "parts")).otherwise(F.lit(-1))
+        found = written(_met(dealt.withColumn("salt", salt.cast("long")), most), "met")
+        yield found
+        heads = written(heads_of(found), "heads")
+        before, n, turn = n, heads.count(), turn + 1
+        if n and 2 * n > before:
+            yield written(_far(heads, most, block), "far")
+            break
+
+
+def _far(heads: DataFrame, most: int, block: int) -> DataFrame:
+    """MET of the near pairs of rows (key, rep, x, y) under one key, dealt in blocks two by two."""
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, a, b, own, rep, x, y), begins, ends in _buckets(batches, 3):
+            us, vs = [], []
+            for k, e in zip(begins.tolist(), ends.tolist(), strict=True):
+                for i in range(k, e - 1):
+                    rest = np.arange(i + 1, e)
+                    rest = rest if a[i] == b[i] else rest[own[rest] != own[i]]
+                    rest = rest[_differ(x, y, i, rest) <= most]
+                    us.append(np.full(len(rest), rep[i]))
+                    vs.append(rep[rest])
+            u, v = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (us, vs))
+            none = pa.nulls(len(u), pa.int64())
+            cols = [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none, none, none]
+            yield pa.RecordBatch.from_arrays(cols, names=["u", "v", "key", "x", "y"])
+
+    sizes = heads.groupBy("key").agg((F.count(F.lit(1)) / block + 1).cast("long").alias("blocks"))
+    rows = heads.join(written(sizes, "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "x", "y")
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(across, MET)
+
+
 def _candidates(classes: DataFrame, bits: int, count: int, most: int, n: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(pairs u, v that are near in a bucket, crowded keys)."""
     rows = _tables(classes, bits, count)
     hot = _hot(classes, bits, count, n, block)
     salt = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(-1).cast("long"))
     met = written(_met(rows.join(F.broadcast(hot), "key", "left").withColumn("salt", salt), most), "met")
-    heads = met.where("u is not null and v is null")
     if hot.take(1):
-        heads = heads.select("key", F.lit(-1).cast("long").alias("salt"), F.col("u").alias("rep"), "x", "y")
-        met = met.unionByName(written(_met(heads, most), "heads"))
+        for more in _headed(met, most, block):
+            met = met.unionByName(more)
     pairs = met.where("v is not null").select("u", "v").distinct()
     return pairs, met.where("u is null").select("key").distinct()
 
@@ -322,9 +371,9 @@ def _linked(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], bar: Fract
     own = sets(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
     hubs = pairs.groupBy("u").count().where(F.col("count") > PAIRS)
     hubs = written(hubs.select("u", (F.col("count") / PAIRS + 1).cast("int").alias("parts")), "hubs")
-    dealt = pairs.join(F.broadcast(hubs), "u", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = pairs.join(hubs, "u", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
-    first = own.select(F.col("rep").alias("u"), F.col("own").alias("a")).join(F.broadcast(hubs), "u", "left")
+    first = own.select(F.col("rep").alias("u"), F.col("own").alias("a")).join(hubs, "u", "left")
     first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     second = own.select(F.col("rep").alias("v"), F.col("own").alias("b"))
     rows = dealt.join(second, "v").join(first, ["u", "part"])
@@ -339,7 +388,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     often as they stand.  component names a group; component_id is the least doc_id in it, a null id being larger than any.
     """
     bar = Fraction(str(similarity))
-    texts = doc_rows(docs).withColumn("rk", F.xxhash64("text"))
+    # Equal texts are one class: 128 bits, as 64 may be shared by two among thousands of millions.
+    texts = doc_rows(docs).withColumns({"rk": F.xxhash64("text"), "rk2": F.xxhash64(F.lit(2), "text")})
+    same = ["rk", "rk2"]
     n = texts.count()
     bits, count = words(n, similarity)
     own = 64 // bits
@@ -347,8 +398,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     most = most_differing(2 * 64, similarity)
     found = written(_sketched(texts, shingle, sketches), "sketches")
     names = [f"fp{k}" for k in range(sketches)]
-    classes = found.groupBy("rk").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "bits", *names)).alias("own"))
-    classes = written(classes.select("rk", "least", "own.*", F.monotonically_increasing_id().alias("rep")), "classes")
+    classes = found.groupBy(*same).agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "bits", *names)).alias("own"))
+    classes = written(classes.select(*same, "least", "own.*", F.monotonically_increasing_id().alias("rep")), "classes")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -356,7 +407,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
             yield pa.RecordBatch.from_arrays([b.column("rep"), own], names=["rep", "own"])
 
     def sets(reps: DataFrame) -> DataFrame:
-        wanted = texts.join(written(classes.select("rk", "rep").join(reps, "rep", "left_semi"), "wanted"), "rk")
+        wanted = texts.join(written(classes.select(*same, "rep").join(reps, "rep", "left_semi"), "wanted"), same)
         return written(wanted.select("rep", "text").mapInArrow(hashed, "rep long, own binary").dropDuplicates(["rep"]), "sets")
 
     pairs, crowded = _candidates(classes, bits, count, most, n, block)
@@ -370,7 +421,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         more = _linked(_open(rows, crowded, linked, bar, most, block, total), sets, bar)
         if more.take(1):
             whole = components(whole.select("u", F.col("component").alias("v")).unionByName(more))
-    named = named_by(classes.select("rk", "rep", "least"), whole)
-    return found.select("doc_id", "rk").join(named, "rk").select(
+    named = named_by(classes.select(*same, "rep", "least"), whole)
+    return found.select("doc_id", *same).join(named, same).select(
         public_id().alias("doc_id"), "rk", "component", public_id("component_id").alias("component_id")
     )
