@@ -261,28 +261,12 @@ def _headed(met: DataFrame, most: int, block: int) -> Iterator[DataFrame]:
 
 
 def _far(heads: DataFrame, most: int, block: int) -> DataFrame:
-    """MET of the near pairs of rows (key, rep, x, y) under one key, dealt in blocks two by two."""
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, a, b, own, rep, x, y), begins, ends in _buckets(batches, 3):
-            us, vs = [], []
-            for k, e in zip(begins.tolist(), ends.tolist(), strict=True):
-                for i in range(k, e - 1):
-                    rest = np.arange(i + 1, e)
-                    rest = rest if a[i] == b[i] else rest[own[rest] != own[i]]
-                    rest = rest[_differ(x, y, i, rest) <= most]
-                    us.append(np.full(len(rest), rep[i]))
-                    vs.append(rep[rest])
-            u, v = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (us, vs))
-            none = pa.nulls(len(u), pa.int64())
-            cols = [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none, none, none]
-            yield pa.RecordBatch.from_arrays(cols, names=["u", "v", "key", "x", "y"])
-
+    """MET of rows (key, rep, x, y), those of a key dealt in blocks two by two: a bucket holds two blocks at most."""
     sizes = heads.groupBy("key").agg((F.count(F.lit(1)) / block + 1).cast("long").alias("blocks"))
     rows = heads.join(written(sizes, "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "x", "y")
-    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(across, MET)
+    salt = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    return _met(rows.withColumn("salt", salt), most).where("v is not null")
 
 
 def _candidates(classes: DataFrame, bits: int, count: int, most: int, n: int, block: int) -> tuple[DataFrame, DataFrame]:
