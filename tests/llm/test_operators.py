@@ -438,6 +438,146 @@ def test_wavelet_queries(ids):
     assert w.select(x, ids.count(x) - 1) == max(k for k, y in enumerate(ids) if y == x)
 
 
+def plain_convolution(net, ids):
+    """The logit of one text in loops: ids packs three slots a word, zeros follow the last."""
+    from trailmark.llm.toxicity import DIM, PARTS, SLOT_BITS, SLOTS, WIDTHS
+
+    gap = max(WIDTHS)
+    x = [sum(net.embed[int(i) >> k * SLOT_BITS & SLOTS - 1] for k in range(PARTS)) for i in ids] + [np.zeros(DIM)] * gap
+    pooled = []
+    for w in WIDTHS:
+        values = [sum(x[i + k] @ net.filters[w][k] for k in range(w)) for i in range(len(x) - w + 1)]
+        pooled.append(np.maximum(np.max(values, axis=0), 0))
+    return float(np.concatenate(pooled) @ net.weights + net.bias[0])
+
+
+def some_texts(rng, n):
+    words = [f"word{k}" for k in range(40)]
+    return [" ".join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 7, 20]))) for _ in range(n)]
+
+
+def test_convolution_equals_loops_and_texts_do_not_touch():
+    net = toxicity.Network()
+    net.embed = np.random.default_rng(1).normal(0, 1, net.embed.shape).astype(np.float32)
+    net.embed[0] = 0
+    docs = [toxicity.word_slots(t) for t in some_texts(random.Random(1), 30)]
+    together = net.logits(docs)
+    assert np.allclose(together, [plain_convolution(net, d) for d in docs], atol=1e-3)
+    assert np.allclose(together, [net.logits([d])[0] for d in docs], atol=1e-4)
+
+
+def test_convolution_learns_along_its_gradient(monkeypatch):
+    """One step of one batch: the change of weights and filters gives the gradient, which differences of the loss must confirm."""
+    for name, value in (("EPOCHS", 1), ("DROP", 0.0), ("LEAST", 1)):
+        monkeypatch.setattr(toxicity, name, value)
+    rng = random.Random(2)
+    docs = [toxicity.word_slots(t + " end") for t in some_texts(rng, 20)]
+    y = np.array([rng.randint(0, 1) for _ in docs])
+    net, start = toxicity.Network(), toxicity.Network()
+    for n in (net, start):
+        n.embed = np.random.default_rng(4).normal(0, 0.3, n.embed.shape).astype(np.float32)
+        n.embed[0] = 0
+    net.fit(docs, y)
+
+    def loss():
+        z = np.array([plain_convolution(start, d) for d in docs])
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    checked = 0
+    for of in (lambda n: n.weights, lambda n: n.bias, *(lambda n, w=w: n.filters[w] for w in toxicity.WIDTHS)):
+        flat, moved = of(start).reshape(-1), of(net).reshape(-1)
+        for k in rng.sample(range(len(flat)), min(6, len(flat))):
+            ratio = (flat[k] - moved[k]) / toxicity.RATE  # g / sqrt(1e-6 + g^2)
+            own, losses = float(flat[k]), []
+            for d in (-0.02, 0.02):
+                flat[k] = own + d
+                losses.append(loss())
+            flat[k] = own
+            g = (losses[1] - losses[0]) / 0.04
+            if abs(g) > 1e-3:
+                assert np.sign(g) == np.sign(ratio)
+                checked += 1
+            if abs(ratio) < 0.9:
+                assert ratio * 1e-3 / np.sqrt(1 - ratio**2) == pytest.approx(g, abs=5e-4)
+    assert checked > 10
+
+
+def plain_attention(net, bag):
+    p, hs, gates = net.p, [], []
+    for row in bag:
+        x = np.clip((row - net.mean) / net.scale, -8, 8)
+        h = np.tanh(x @ p["e"] + p["b"])
+        hs.append(h)
+        gates.append(float((np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["w"]))
+    a = np.exp(np.array(gates) - max(gates))
+    return float(sum(w * h for w, h in zip(a / a.sum(), hs)) @ p["c"] + p["o"][0])
+
+
+def test_attention_equals_loops_and_learns_along_its_gradient(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    rng = np.random.default_rng(9)
+    bags = [rng.normal(0, 1, (rng.integers(1, 6), quality.FEATURES)) for _ in range(24)]
+    y = rng.integers(0, 2, len(bags))
+    net = quality.Attention()
+    net.fit(bags, y)
+    scores = [1 / (1 + np.exp(-plain_attention(net, b))) for b in bags]
+    assert np.allclose(net.scores(bags), scores, atol=1e-6)
+    start = quality.Attention()
+    start.mean, start.scale = net.mean, net.scale
+
+    def loss():
+        z = np.array([plain_attention(start, b) for b in bags])
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    checked = 0
+    for name, p in start.p.items():
+        flat, moved = p.reshape(-1), net.p[name].reshape(-1)
+        for k in rng.choice(len(flat), min(5, len(flat)), replace=False):
+            own, losses = flat[k], []
+            for d in (-1e-4, 1e-4):
+                flat[k] = own + d
+                losses.append(loss())
+            flat[k] = own
+            g = (losses[1] - losses[0]) / 2e-4 + 1e-4 * own
+            if abs(g) > 1e-5:  # the first step is as long as the rate, against the gradient
+                assert (own - moved[k]) / quality.RATE == pytest.approx(np.sign(g), abs=0.01)
+                checked += 1
+    assert checked > 15
+
+
+def test_leaders_of_a_hot_key_meet_however_many_they_are(spark):
+    """Groups of near prints under one key, each dealt to many buckets, and prints far from all others."""
+    rng = random.Random(3)
+    prints = []
+    for _ in range(12):
+        x, y = rng.getrandbits(63), rng.getrandbits(63)
+        prints += [(x ^ 1 << rng.randint(0, 40), y) for _ in range(25)]
+    prints += [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(60)]
+    rows_ = [(7, k % 30, k, x, y) for k, (x, y) in enumerate(prints)]
+    from trailmark.llm.common import written
+
+    met = written(similar._met(spark.createDataFrame(rows_, "key long, salt long, rep long, x long, y long"), 4), "met")
+    pairs = {tuple(r) for more in (met, *similar._headed(met, 4, 10)) for r in more.where("v is not null").select("u", "v").collect()}
+    near = lambda a, b: (prints[a][0] ^ prints[b][0]).bit_count() + (prints[a][1] ^ prints[b][1]).bit_count() <= 4
+    assert all(near(*p) for p in pairs) and len(pairs) < 12 * 25 * 24 // 2
+
+    def groups(links):
+        root = list(range(len(prints)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for u, v in links:
+            root[find(u)] = find(v)
+        return [find(k) for k in range(len(prints))]
+
+    every = groups((a, b) for a in range(len(prints)) for b in range(a) if near(a, b))
+    own = groups(pairs)
+    assert len(set(zip(own, every))) == len(set(own)) == len(set(every))
+
+
 def test_classifiers_on_held_out_rows(spark):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(400)]

@@ -65,6 +65,13 @@ def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return slots, np.cumsum(sizes) - sizes
 
 
+def _greatest(v: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
+    """Of each text the greatest values of windows of width w that end within its own zeros."""
+    stops = np.append(starts[1:], len(v)) - w + 1
+    bounds = np.column_stack([starts, stops]).ravel()
+    return np.maximum.reduceat(v, bounds[:-1] if bounds[-1] == len(v) else bounds, axis=0)[::2]
+
+
 class Network:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -83,7 +90,7 @@ class Network:
         ids, starts = _padded(docs)
         n = len(ids) - max(WIDTHS)
         x = sum(self.embed[ids[:, k]] for k in range(PARTS))
-        pooled = [np.maximum.reduceat(self._values(w, x, n), starts, axis=0) for w in WIDTHS]
+        pooled = [_greatest(self._values(w, x, n), starts, w) for w in WIDTHS]
         return np.maximum(np.concatenate(pooled, 1), 0) @ self.weights + self.bias[0]
 
     def language(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -121,7 +128,7 @@ class Network:
                 pooled, places = [], []
                 for w in WIDTHS:
                     v = self._values(w, xs, n)
-                    place = np.stack([s + v[s:e].argmax(0) for s, e in zip(starts, stops, strict=True)])
+                    place = np.stack([s + v[s : e - w + 1].argmax(0) for s, e in zip(starts, stops, strict=True)])
                     places.append(place)
                     pooled.append(np.take_along_axis(v, place, 0))
                 x = np.maximum(np.concatenate(pooled, 1), 0)
