@@ -36,18 +36,28 @@ def _rows(kept: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go: those that fail the base rules (null, empty and wordless texts do) or a cutoff of their language.
+
+    Rows are judged one by one, so repeated rows stay or go together; a null id is judged like any other.  No rows: none.
+    """
     return _rows(_keep(docs, rules.judge(docs, read(spark, sf_dir, "labels")).where("kept")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays; of rows with one id and text, one."""
+    """Of equal texts the row with the largest id stays, a null id being larger than any; of rows with one id and text, one.
+
+    Null and empty texts are equal.  No rows: none.
+    """
     kept = _keep(docs, exact.exact_groups(docs).where("kept"))
     return _rows(kept.dropDuplicates(["own_id", "own_rk"]))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays.
+
+    A null id is larger than any; of rows of one id the text of least hash stays.  Null, empty and blank texts are one group; a text
+    of fewer than five words is one shingle.  Rows with one id and text stay or go together.  No rows: none.
+    """
     found = similar.similar_documents(docs)
     own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("rk"))
     first = found.groupBy("component").agg(F.min(own).alias("first")).select("first.*")
@@ -56,7 +66,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the runs of WORDS words or more in which each string of WINDOW bytes stands elsewhere too; characters
-    cut at an edge go; empty texts stay."""
+    cut at an edge go; null texts become empty ones, and empty ones stay.  Repeated rows count as places of their own.  No rows: none."""
     rest = F.struct(*(docs[c] for c in docs.columns if c != "text"))
     cut = suffix.dedup_substrings(docs, WINDOW, GRAM, carry=rest, least_words=WORDS)
 
@@ -77,7 +87,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """The packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are the end id alone.  Repeated rows are packed as often as they stand, null ids with a null doc_id; pieces of equal
+    length may go to any sequence that has the room.  No rows: none.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
