@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,11 @@ GAP = 1440 * 60 * 1_000_000
 
 def query(sql: str | None = None, name: str | None = None):
     def register(f):
-        QUERIES[name or f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            return tables.settled(spark, lambda: f(spark, d))
+
+        QUERIES[name or f.__name__] = run
         if sql is not None:
             ORACLES[name or f.__name__] = sql
         return f

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from trailmark.config import Settings
 from trailmark.operators.hybrid import Model
 from trailmark.sources import merged
+from trailmark.sources.tables import at_the_end, remove
 
 VERSION = 2
 TABLES = ("vectors", "sim", "steps", "scores", "lists", "categories")
@@ -43,12 +44,12 @@ def save(model: Model, path: str, buckets: int | None = None) -> str:
     tables = {t: _narrow(getattr(model, t)) for t in TABLES if getattr(model, t) is not None}
     for name, df in tables.items():
         if name in BUCKETED:
-            merged.remove(spark, f"{path}/{name}")
+            remove(spark, f"{path}/{name}")
             _write_bucketed(df, f"{path}/{name}", BUCKETED[name], buckets)
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
     for name in ("history", "recent"):
-        merged.remove(spark, f"{path}/{name}")
+        remove(spark, f"{path}/{name}")
     if model.history is not None:
         merged.merge(f"{path}/history", "case_id", model.history, lambda _, new: new)
     about = {
@@ -86,6 +87,7 @@ def load(spark: SparkSession, path: str) -> Model:
                 f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {manifest['buckets']} BUCKETS LOCATION '{at}'"
             )
             df = spark.table(known)
+            at_the_end(lambda: spark.sql(f"DROP TABLE IF EXISTS {known}"))
         else:
             df = spark.read.parquet(f"{path}/{name}")
         return df.withColumns({c: F.col(c).cast("double") for c, t in df.dtypes if t == "float"})

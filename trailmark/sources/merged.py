@@ -27,11 +27,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    files, at = _place(spark, path)
-    files.delete(at, True)
-
-
 def part_of(key: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,33 @@ PROPERTIES_SCHEMA = "timestamp long, itemid long, property string, value string"
 TREE_SCHEMA = "categoryid long, parentid long"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+#: What each open ``scratch`` does at its end.
+_scratch: list[list[Callable[[], object]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list]:
+    """Paths that ``new_path`` gave within, and the tables in them, are removed at the end, but for those asked to be kept."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        for end in reversed(_scratch.pop()):
+            end()
+
+
+def at_the_end(action: Callable[[], object]) -> None:
+    """``action`` is done when the innermost scratch ends; never, if none is open."""
+    if _scratch:
+        _scratch[-1].append(action)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new folder in ``spark.checkpoint.dir``; only a local session may do without that."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
@@ -21,17 +49,27 @@ def new_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         path = spark.sparkContext.getCheckpointDir()
-    return f"{path.rstrip('/')}/trailmark-{name}-{uuid.uuid4().hex}"
+    path = f"{path.rstrip('/')}/trailmark-{name}-{uuid.uuid4().hex}"
+    if not keep:
+        at_the_end(lambda: remove(spark, path))
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder, read back: cuts lineage."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives.  If it wrote tables on its way, they are removed, and the result is a table of its own."""
+    with scratch(spark) as own:
+        out = make()
+        return written(out, "result", keep=True) if own else out
+
+
 def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """``written``, and how many rows there are, counted while they are written."""
     seen = Observation(f"rows-{uuid.uuid4().hex}")
