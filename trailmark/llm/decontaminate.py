@@ -155,7 +155,7 @@ def scanned(docs: DataFrame, sizes: list[int], bits: bytes, window: int, shingle
 
 
 def occurrences(hits: DataFrame, windows: DataFrame, shingles: DataFrame) -> DataFrame:
-    """row_id, start, size, wid, all: each place of a document where a window stands; all: how many places its rarest shingle has."""
+    """row_id, start, size, wid: each place of a document where a window stands."""
     counts = written(hits.groupBy("q", "h").agg(F.count(F.lit(1)).alias("all")), "counts")
     total = counts.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
     order = F.min(F.struct("all", "q", "h", "o", "size")).alias("rarest")
@@ -176,8 +176,7 @@ def occurrences(hits: DataFrame, windows: DataFrame, shingles: DataFrame) -> Dat
         F.array_join(F.slice("around", first + 1, F.col("spot.size")), " ").alias("words"),
     )
     # A window is found by its own rarest shingle only, so each place once.
-    held = spread_join(found, rarest.select("words", "h", "o", "size", "wid", "all"), ["words", "h", "o"], "all", total=total)
-    return held.select("row_id", "start", "size", "wid", "all")
+    return found.join(rarest.select("words", "h", "o", "size", "wid"), ["words", "h", "o"]).select("row_id", "start", "size", "wid")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -201,7 +200,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     new = F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0))
     hit = longest.withColumn("new", new).groupBy("row_id").agg(F.sum("new").alias("n_hit"))
 
-    of = found.groupBy("wid").agg(F.first("all").alias("all")).join(owners, "wid").groupBy("wid")
+    of = found.groupBy("wid").agg(F.count(F.lit(1)).alias("all")).join(owners, "wid").groupBy("wid")
     of = written(of.agg(F.first("all").alias("all"), F.collect_set("item_id").alias("ids")), "owners")
     own = spread_join(found.select("row_id", "wid").distinct(), of, ["wid"], "all", total=found.count())
     own = own.select("row_id", F.explode("ids").alias("id")).distinct()
