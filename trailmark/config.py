@@ -15,6 +15,7 @@ HALF_LIFE_DAYS = 30.0
 
 @dataclass(frozen=True)
 class Settings:
+    #: The defaults.
     min_user_interactions: int = 3
     min_item_interactions: int = 3
     max_filter_passes: int = 10
