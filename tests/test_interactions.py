@@ -370,8 +370,8 @@ def test_a_loaded_model_is_scored_where_its_similarities_are(spark, tmp_path):
 def test_trials_in_one_plan_equal_models_of_their_own(spark):
     tune, _ = evaluation.scorers(catalog._log(spark, SF), tables.item_categories(spark, SF))
     s = catalog.S
-    trials = [s, s.but(history_weight_scheme="raw", max_history_items=None), s.but(current_session_only=False, sequence_weight=0.0)]
-    trials += [s.but(co_occurrence_unit="sessionid", sequence_window=1, sequence_max_items=1), s.but(shrinkage=10.0, k_neighbors=3)]
+    trials = [s, s.but(history_weight_scheme="raw", max_history_items=None, current_session_only=False, sequence_weight=0.0)]
+    trials += [s.but(co_occurrence_unit="sessionid", sequence_window=1, sequence_max_items=1, shrinkage=10.0, k_neighbors=3)]
     together = evaluation.hit_rates(tune.fits, trials, tune.cases, tune.history, 30)
     asked = tune.cases.selectExpr("case_id", "cast(null as long) as category")
     for trial, rate in zip(trials, together):

@@ -757,6 +757,21 @@ def artifact_history_merged(spark, d):
     return artifact.load(spark, path).history.select("case_id", "pos", "itemid", "weight", "last_ts")
 
 
+def _as_stored(sql: str) -> str:
+    """The same with similarities, transitions and popularity as floats."""
+    for column in (r"pow\(s, [\d.]+\) AS sim", r"p / sum\(p\) OVER \(PARTITION BY prev_item\) AS p", r"popu\.score"):
+        sql = re.sub(rf"({column.split(' AS ')[0]})", r"CAST(CAST(\1 AS FLOAT) AS DOUBLE)", sql)
+    return sql
+
+
+@query(_as_stored(FULL + f", {CASES}, {RECOMMEND} ") + RECS)
+def artifact_recommend(spark, d):
+    """What a loaded model suggests for the histories that it has attached."""
+    model = _saved(spark, d)
+    cases = model.history.select("case_id").distinct().withColumn("category", F.lit(None).cast("long"))
+    return hybrid.recommend(model, cases, model.history, N).select("case_id", "rank", "itemid", *q6("score"), "source")
+
+
 @query(_with(EV) + "SELECT visitorid AS case_id, itemid FROM (SELECT *, row_number() OVER (PARTITION BY visitorid ORDER BY ts DESC, eid) AS rn FROM ev) WHERE rn = 1")
 def artifact_recent(spark, d):
     """Each visitor's latest item as a saved model has it attached."""
