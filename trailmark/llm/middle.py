@@ -44,7 +44,7 @@ def _goes_on(left: Column, right: Column, runs: Sequence[str]) -> Column:
 
 
 def _blocks(parts: Column, runs: Sequence[str]) -> Column:
-    """array<struct<text, joined, starts>>: of each block whether it goes on with a unit and how many units start in it."""
+    """array<struct<text, joined, units>>: of each block whether it goes on with a unit (0 or 1) and how many pieces it has."""
 
     def seen(part: Column, i: Column) -> Column:
         joined = F.when(i > 0, _goes_on(F.get(parts, i - 1), part, runs)).otherwise(F.lit(0))
