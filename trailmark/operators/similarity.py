@@ -14,6 +14,10 @@ def interactions(log: DataFrame, unit: str = "visitorid") -> DataFrame:
     return log.groupBy(F.col(unit).alias("unit"), "itemid").agg(F.sum("weight").alias("weight"))
 
 
+#: Rows of two ids that may be broadcast: a few megabytes.
+SMALL = 100_000
+
+
 def co_support(rows: DataFrame, min_units: int, min_items: int, passes: int = 10) -> DataFrame:
     """Drops units with fewer than ``min_units`` items and items with fewer than ``min_items`` units until none is left.
 
@@ -27,22 +31,25 @@ def co_support(rows: DataFrame, min_units: int, min_items: int, passes: int = 10
     least = {"unit": min_units, "itemid": min_items}
     counts = {c: written(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "counts") for c in least}
     few = {c: counts[c].where(F.col("n") < k).select(c) for c, k in least.items()}
+    small = lambda df, n: F.broadcast(df) if n <= SMALL else df
+    gone_rows = 0
     lost: DataFrame | None = None  # of all passes so far: unit, itemid, and whether the one or the other was dropped
-    for _ in range(passes):
+    for turn in range(passes):
         marked = rows.select("unit", "itemid")
         for c in least:
             marked = marked.join(few[c].withColumn(f"by_{c}", F.lit(True)), c, "left")
         marked = marked.where("by_unit or by_itemid").select("unit", "itemid", *(F.coalesce(f"by_{c}", F.lit(False)).alias(f"by_{c}") for c in least))
         if lost is not None:
-            marked = marked.join(lost, ["unit", "itemid"], "left_anti")
-        delta, n = written_counted(marked, "dropped")
+            marked = marked.join(small(lost, gone_rows), ["unit", "itemid"], "left_anti")
+        delta, n = written_counted(marked.withColumn("turn", F.lit(turn)), "dropped")
         if not n:
             break
         lost = delta if lost is None else lost.unionByName(delta)
+        gone_rows += n
         for c, k in least.items():
-            touched = delta.where(f"not by_{c}").select(c).distinct()
-            gone = lost.join(touched, c, "left_semi").groupBy(c).agg(F.count(F.lit(1)).alias("gone"))
-            few[c] = counts[c].join(gone, c).where(F.col("n") - F.col("gone") < k).select(c)
+            gone = lost.groupBy(c).agg(F.count(F.lit(1)).alias("gone"), F.max("turn").alias("last"), F.max(f"by_{c}").alias("out"))
+            gone = small(gone.where(~F.col("out") & (F.col("last") == turn)), n)  # n at most, and so are those of them with few
+            few[c] = small(counts[c].join(gone, c).where(F.col("n") - F.col("gone") < k).select(c), n)
     return rows if lost is None else written(rows.join(lost, ["unit", "itemid"], "left_anti"), "supported")
 
 
