@@ -274,6 +274,25 @@ def test_diversity_without_pairs(spark):
     assert got["n_lists"] == len(each) == 4 and got["diversity"] == pytest.approx(sum(each) / len(each))
 
 
+def test_diversity_shuffles_no_rows_of_lists_times_units(spark, monkeypatch):
+    rng = random.Random(5)
+    sizes, write = {}, evaluation.written
+
+    def counted(df, name, **more):
+        table = write(df, name, **more)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(evaluation, "written", counted)
+    vectors = spark.createDataFrame([(u, i, 1.0) for u in range(300) for i in range(12)], "unit long, itemid long, weight double")
+    lists = spark.createDataFrame([(c, i) for c in range(300) for i in rng.sample(range(12), 4)], "case_id long, itemid long")
+    got = evaluation.diversity(hybrid.Model(Settings(), vectors, None, None, None, None, None), lists)
+    assert sizes["pairs"] <= 66
+    (row,) = got.collect()
+    assert row["n_lists"] == 300 and row["diversity"] == pytest.approx(0)
+    assert evaluation.diversity(hybrid.Model(Settings(), vectors, None, None, None, None, None), lists.where("false")).first()[:] == (None, 0)
+
+
 def test_sessions_of_one_visitor_with_half_the_log(spark):
     """Chunks of every length give the sessions of a single scan, simultaneous events and gaps at a chunk's edge included."""
     rng = random.Random(8)

@@ -14,7 +14,7 @@ from trailmark.operators import popularity as pop
 from trailmark.operators.hybrid import Model, fit_popularity, fit_vectors, recommend
 from trailmark.operators.sequence import transitions
 from trailmark.operators.sessions import ordered_history
-from trailmark.operators.similarity import cosines, neighbours, predict_scores
+from trailmark.operators.similarity import cosines, neighbours, predict_scores, products
 from trailmark.sources.tables import written
 
 
@@ -99,21 +99,24 @@ def ranking_metrics(model: Model, cases: DataFrame, history: DataFrame, lists: D
 def diversity(model: Model, lists: DataFrame) -> DataFrame:
     """Mean over lists of two catalog items or more of 1 - the mean cosine of their raw vectors, and how many lists.
 
-    The mean cosine of k unit vectors is (|their sum|^2 - k) / (k (k - 1)), so there are no pairs of items.  Equal sets of items are
-    summed up once, with the number of lists that have them.
+    A pair of items counts by the lists that hold it, added up before anything is looked up, and its cosine is formed once, from the
+    units that have both: the work grows with the lists and with the log, not with lists times the units of their items.
     """
     v = model.vectors
     norms = v.groupBy("itemid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")).where("norm > 0")
     known = lists.select("case_id", "itemid").distinct().join(norms.select("itemid"), "itemid", "left_semi")
     sets = known.groupBy("case_id").agg(F.array_sort(F.collect_list("itemid")).alias("items"))  # as long as a list
-    sets = sets.where(F.size("items") > 1).groupBy("items").agg(F.count(F.lit(1)).alias("n"))
-    sets = written(sets.withColumn("set_id", F.monotonically_increasing_id()), "sets")
-    rows = sets.select("set_id", F.explode("items").alias("itemid")).join(norms, "itemid")
-    sums = rows.join(v, "itemid").groupBy("set_id", "unit").agg(F.sum(F.col("weight") / F.col("norm")).alias("s"))
-    squares = sums.groupBy("set_id").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    sets = written(sets.where(F.size("items") > 1).groupBy("items").agg(F.count(F.lit(1)).alias("n")), "sets")
     k = F.size("items")
-    each = sets.join(squares, "set_id").select("n", (1 - (F.col("square") - k) / (k * (k - 1))).alias("d"))
-    return each.agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("diversity"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_lists"))
+    pairs = sets.select((2 * F.col("n") / (k * (k - 1))).alias("part"), F.explode("items").alias("i"), "items")
+    pairs = pairs.select("part", "i", F.explode(F.filter("items", lambda x: x > F.col("i"))).alias("j"))
+    pairs = written(pairs.groupBy("i", "j").agg(F.sum("part").alias("part")), "pairs")
+    listed = pairs.select(F.explode(F.array("i", "j")).alias("itemid")).distinct()
+    own = v.join(norms.join(listed, "itemid", "left_semi"), "itemid").select("unit", "itemid", (F.col("weight") / F.col("norm")).alias("w"))
+    cosine = products(own).select("i", "j", "total")
+    same = pairs.join(cosine, ["i", "j"]).agg(F.coalesce(F.sum(F.col("part") * F.col("total")), F.lit(0.0)).alias("same"))
+    n = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_lists"))
+    return n.join(same).select((1 - F.try_divide("same", "n_lists")).alias("diversity"), "n_lists")
 
 
 def novelty(model: Model, lists: DataFrame) -> DataFrame:

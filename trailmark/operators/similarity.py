@@ -90,6 +90,12 @@ def _pairs_of_units(unit: DataFrame, block: int) -> DataFrame:
 BLOCK = 256
 
 
+def products(unit: DataFrame, block: int = BLOCK) -> DataFrame:
+    """unit (unit, itemid, w) -> i, j, total (of the products), co (units that have both): pairs of items, i < j, combined before the
+    shuffle by pair."""
+    return _pairs_of_units(unit, block).groupBy("i", "j").agg(F.sum("product").alias("total"), F.count(F.lit(1)).alias("co"))
+
+
 def cosines(rows: DataFrame, s: Settings, block: int = BLOCK) -> DataFrame:
     """i, j, cosine, co (units that have both): pairs of items, i < j, combined before the shuffle by pair."""
     w = signal(rows, s)
