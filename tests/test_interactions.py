@@ -256,6 +256,28 @@ def test_peeling_by_deltas(spark, monkeypatch, passes):
     assert all(a > b for a, b in zip(sizes, sizes[1:])) or passes == 20
 
 
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_peeling_leaves_filed_rows_in_place(spark, monkeypatch, small, hot):
+    rng = random.Random(11)
+    rows = sorted({(int(rng.triangular(0, 60, 5)), int(rng.triangular(0, 60, 5))) for _ in range(420)})
+    monkeypatch.setattr(sm, "SMALL", small)
+    if hot:
+        monkeypatch.setattr(sm, "HOT", 40)
+        monkeypatch.setattr(sm, "HOT_ROWS", 3)
+    plans, write = [], sm.written_counted
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return write(df, name)
+
+    monkeypatch.setattr(sm, "written_counted", seen)
+    df = spark.createDataFrame([((u, 1), i, 1.0) for u, i in rows], "unit struct<v:long,s:long>, itemid long, weight double")
+    got = sm.co_support(df, 4, 5)
+    assert {(r["unit"][0], r["itemid"]) for r in got.collect()} == _peeled(rows, 4, 5, 10)
+    assert len(plans) > 1 and all("Bucketed: true" in p or small or hot for p in plans)
+
+
 def test_diversity_without_pairs(spark):
     rng = random.Random(3)
     v = {i: {u: rng.uniform(1, 9) for u in rng.sample(range(20), 6)} for i in range(12)}

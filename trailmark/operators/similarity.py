@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.config import Settings
 from trailmark.functions.weights import quantised, saturated, user_idf
-from trailmark.sources.tables import written, written_counted
+from trailmark.sources import tables
+from trailmark.sources.tables import bucketed, written, written_counted
 
 
 def interactions(log: DataFrame, unit: str = "visitorid") -> DataFrame:
@@ -16,41 +19,89 @@ def interactions(log: DataFrame, unit: str = "visitorid") -> DataFrame:
 
 #: Rows of two ids that may be broadcast: a few megabytes.
 SMALL = 100_000
+#: A unit or item with more than one in HOT of all rows, and more than HOT_ROWS, isn't put in one bucket.
+HOT, HOT_ROWS = 1000, 100_000
+
+
+def _near(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of n rows as the side of a join that is looked up: everywhere if it is small, else dealt by the key."""
+    return F.broadcast(df) if n <= SMALL else df.hint("shuffle_hash")
+
+
+class _Side:
+    """Rows filed by one of their two ids, in buckets: a join by it moves the other side only.  Rows of hot ids stay where they are."""
+
+    def __init__(self, rows: DataFrame, key: str, counts: DataFrame, total: int):
+        hot = written(counts.where((F.col("n") * HOT > total) & (F.col("n") > HOT_ROWS)).select(key), "hot")  # HOT at most
+        self.key, self.hot = key, hot if hot.count() else None
+        self.spread = rows.join(F.broadcast(hot), key, "left_semi") if self.hot is not None else None
+        self.filed = bucketed(rows if self.hot is None else rows.join(F.broadcast(hot), key, "left_anti"), key, "filed")
+
+    def joined(self, ids: DataFrame, n: int, how: str) -> DataFrame:
+        """The rows that have (left_semi) or lack (left_anti) one of n ``ids``."""
+        out = self.filed.join(_near(ids, n), self.key, how)
+        if self.hot is None:
+            return out
+        few = F.broadcast(ids.join(F.broadcast(self.hot), self.key, "left_semi"))
+        return out.unionByName(self.spread.join(few, self.key, how))
 
 
 def co_support(rows: DataFrame, min_units: int, min_items: int, passes: int = 10) -> DataFrame:
     """Drops units with fewer than ``min_units`` items and items with fewer than ``min_items`` units until none is left.
 
-    Both counts of a pass are of the same rows.  Peeling by deltas: rows and counts are written once, and a pass writes only
-    the rows that it drops.  What the next pass drops is sought among the units and items that lost rows in this one, whose
-    counts are the first ones less all that was lost.  Survivors are written once, at the end.
+    Both counts of a pass are of the same rows.  Peeling by deltas: rows are filed once by unit and once by item.  A pass reads the
+    rows of what it drops from these, and only those rows move, each at most once for its unit and once for its item.  What
+    the next pass drops is sought among the units and items that lost rows in this one, whose counts are the first ones
+    less all that was lost.  Survivors are written once, at the end.
     """
     rows = written(rows.select("unit", "itemid", "weight"), "interactions")
     if min_units <= 1 and min_items <= 1:
         return rows
     least = {"unit": min_units, "itemid": min_items}
-    counts = {c: written(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "counts") for c in least}
-    few = {c: counts[c].where(F.col("n") < k).select(c) for c, k in least.items()}
-    small = lambda df, n: F.broadcast(df) if n <= SMALL else df
-    gone_rows = 0
-    lost: DataFrame | None = None  # of all passes so far: unit, itemid, and whether the one or the other was dropped
-    for turn in range(passes):
-        marked = rows.select("unit", "itemid")
-        for c in least:
-            marked = marked.join(few[c].withColumn(f"by_{c}", F.lit(True)), c, "left")
-        marked = marked.where("by_unit or by_itemid").select("unit", "itemid", *(F.coalesce(f"by_{c}", F.lit(False)).alias(f"by_{c}") for c in least))
-        if lost is not None:
-            marked = marked.join(small(lost, gone_rows), ["unit", "itemid"], "left_anti")
-        delta, n = written_counted(marked.withColumn("turn", F.lit(turn)), "dropped")
-        if not n:
-            break
-        lost = delta if lost is None else lost.unionByName(delta)
-        gone_rows += n
-        for c, k in least.items():
-            gone = lost.groupBy(c).agg(F.count(F.lit(1)).alias("gone"), F.max("turn").alias("last"), F.max(f"by_{c}").alias("out"))
-            gone = small(gone.where(~F.col("out") & (F.col("last") == turn)), n)  # n at most, and so are those of them with few
-            few[c] = small(counts[c].join(gone, c).where(F.col("n") - F.col("gone") < k).select(c), n)
-    return rows if lost is None else written(rows.join(lost, ["unit", "itemid"], "left_anti"), "supported")
+    with ThreadPoolExecutor(2) as pool:  # both ids at the same time
+
+        def both(what):
+            return dict(zip(least, pool.map(what, least), strict=True))
+
+        counts = both(lambda c: written(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "counts"))
+        few = both(lambda c: tables.written_counted(counts[c].where(F.col("n") < least[c]).select(c), "few"))
+        if not any(n for _, n in few.values()):
+            return rows
+        total = rows.count()
+        by = both(lambda c: _Side(rows if c == "unit" else rows.drop("weight"), c, counts[c], total))
+        gone: dict[str, DataFrame] = {}  # what was dropped, and in which pass
+        n_gone = dict.fromkeys(least, 0)
+        lost: dict[str, DataFrame] = {}  # how many rows what remained after a pass lost in it, by unit and by item
+        for turn in range(passes):
+            if not any(n for _, n in few.values()):
+                break
+            for c, (own, n) in few.items():
+                own = own.withColumn("at", F.lit(turn))
+                gone[c] = gone[c].unionByName(own) if c in gone else own
+                n_gone[c] += n
+            of_units = by["unit"].joined(*few["unit"], "left_semi").select("unit", "itemid")
+            of_units = of_units.join(_near(gone["itemid"], n_gone["itemid"]), "itemid", "left").where(F.col("at").isNull() | (F.col("at") == turn))
+            of_units = of_units.select("unit", "itemid", F.lit(True).alias("by_unit"), F.col("at").isNotNull().alias("by_itemid"))
+            of_items = by["itemid"].joined(*few["itemid"], "left_semi").select("unit", "itemid")
+            of_items = of_items.join(_near(gone["unit"].select("unit"), n_gone["unit"]), "unit", "left_anti")
+            of_items = of_items.withColumns({"by_unit": F.lit(False), "by_itemid": F.lit(True)})
+            delta, n = written_counted(of_units.unionByName(of_items.select(*of_units.columns)), "dropped")
+            if not n or turn + 1 == passes:
+                break
+
+            def next_few(c: str, delta: DataFrame = delta, n: int = n, turn: int = turn) -> tuple[DataFrame, int]:
+                other = "itemid" if c == "unit" else "unit"
+                own = delta.where(F.col(f"by_{other}") & ~F.col(f"by_{c}")).groupBy(c).agg(F.count(F.lit(1)).alias("gone"))
+                own = written(own.withColumn("at", F.lit(turn)), "lost")
+                lost[c] = lost[c].unionByName(own) if c in lost else own
+                touched = lost[c].groupBy(c).agg(F.sum("gone").alias("gone"), F.max("at").alias("last")).where(F.col("last") == turn)
+                left = counts[c].join(_near(touched, n), c).where(F.col("n") - F.col("gone") < least[c])
+                return tables.written_counted(left.select(c), "few")
+
+            few = both(next_few)
+    kept = by["unit"].joined(gone["unit"].select("unit"), n_gone["unit"], "left_anti")
+    kept = kept.join(_near(gone["itemid"].select("itemid"), n_gone["itemid"]), "itemid", "left_anti")
+    return written(kept.select("unit", "itemid", "weight"), "supported")
 
 
 def bot_filtered(rows: DataFrame, max_items: int | None) -> DataFrame:
