@@ -421,6 +421,23 @@ def test_trials_in_one_plan_equal_models_of_their_own(spark):
         assert rate == pytest.approx(hits / tune.cases.count())
 
 
+def test_candidates_of_trials_are_dealt_once(spark, monkeypatch):
+    tune, _ = evaluation.scorers(catalog._log(spark, SF), tables.item_categories(spark, SF))
+    plans, write = [], hybrid.written
+
+    def seen(df, name, **more):
+        if name == "top":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, **more)
+
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(hybrid, "written", seen)
+    tune.rates([catalog.S, catalog.S.but(max_history_items=None)])
+    dealt = [line for line in plans[0].splitlines() if "hashpartitioning(case_id" in line and "itemid" in line.split("hashpartitioning")[1].split(")")[0]]
+    assert not dealt and spark.conf.get(key) == before
+
+
 def test_training_command(spark, tmp_path, capsys):
     from trailmark import train
 

@@ -15,7 +15,7 @@ from trailmark.operators.hybrid import Model, fit_popularity, fit_vectors, recom
 from trailmark.operators.sequence import transitions
 from trailmark.operators.sessions import ordered_history
 from trailmark.operators.similarity import cosines, neighbours, predict_scores, products
-from trailmark.sources.tables import written
+from trailmark.sources.tables import bucketed, dealt_by_one_key, written
 
 
 def leave_last_out(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +231,8 @@ def _varied(trials: list[Settings]) -> SimpleNamespace:
 def hit_rates(fits: Fits, trials: list[Settings], cases: DataFrame, history: DataFrame, n: int = 10) -> list[float]:
     """The share of ``cases`` whose held item is among n suggestions, for each trial: one plan of all, one aggregate.
 
-    history: of the cases; cases and history are read once for each trial, whose number becomes part of case_id.
+    history: of the cases; cases and history are read once for each trial, whose number becomes part of case_id.  Histories are filed by case
+    once, and all that is made of them is joined where it lies: candidates, their sums and what excludes them aren't dealt again.
     """
     number = F.explode(F.array(*(F.lit(k) for k in range(len(trials)))))
 
@@ -240,9 +241,12 @@ def hit_rates(fits: Fits, trials: list[Settings], cases: DataFrame, history: Dat
 
     cases = tried(cases)
     asked = cases.select("case_id", F.lit(None).cast("long").alias("category"))
-    lists = recommend(fits.model(trials), asked, tried(history), n)
-    found = cases.join(lists.select("case_id", F.col("itemid").alias("held"), F.lit(1).alias("hit")), ["case_id", "held"], "left")
-    rates = found.groupBy("case_id.trial").agg(F.avg(F.coalesce("hit", F.lit(0)))).collect()  # a row a trial
+    history = bucketed(tried(history), "case_id", "tried")
+    model = fits.model(trials)
+    with dealt_by_one_key(cases.sparkSession):
+        lists = recommend(model, asked, history, n)
+        found = cases.join(lists.select("case_id", F.col("itemid").alias("held"), F.lit(1).alias("hit")), ["case_id", "held"], "left")
+        rates = found.groupBy("case_id.trial").agg(F.avg(F.coalesce("hit", F.lit(0)))).collect()  # a row a trial
     return [dict(map(tuple, rates)).get(k, 0.0) for k in range(len(trials))]
 
 

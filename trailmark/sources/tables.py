@@ -73,6 +73,18 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
+@contextmanager
+def dealt_by_one_key(spark: SparkSession) -> Iterator[None]:
+    """Plans made within join by several keys where rows lie, if both sides are dealt by one of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives.  If it wrote tables on its way, they are removed, and the result is a table of its own."""
     with scratch(spark) as own:
