@@ -90,6 +90,33 @@ def test_passages(spark, texts, most):
     assert rows(got, "doc_id", "n_words", "n_removed", "sha") == brute.passages(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("operator", ["suffix", "passages"])
+def test_common_passage_is_looked_up_in_blocks(spark, monkeypatch, operator):
+    from trailmark.llm import anchors
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    passage, line = text(150), text(60)
+    texts = [f"{text(60)} {passage} {text(60)}" for _ in range(24)] + [f"{line} {text(5)} {line}", line + text(70)] * 3 + [passage, "z" * 900]
+    found, join = [], anchors.spread_join
+
+    def counted(rows, table, keys, *more):
+        out = join(rows, table, keys, *more)
+        if keys == ["w0", "w1"]:
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(anchors, "spread_join", counted)
+    if operator == "suffix":
+        got = suffix.dedup_substrings(make(spark, texts), most=2).withColumn("sha", F.sha2("kept", 256))
+        assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "sha") == brute.suffix(list(enumerate(texts)))
+    else:
+        got = rlz.dedup_passages(make(spark, texts), most=2).withColumn("sha", F.sha2(F.col("kept").cast("binary"), 256))
+        assert rows(got, "doc_id", "n_words", "n_removed", "sha") == brute.passages(list(enumerate(texts)))
+    assert 0 < found[0] < {"suffix": 1000, "passages": 700}[operator]
+
+
 @pytest.mark.parametrize("most", [4096, 2])
 def test_simhash(spark, texts, most):
     found = simhash.near_duplicates(make(spark, texts), most=most)
