@@ -278,6 +278,37 @@ def test_peeling_leaves_filed_rows_in_place(spark, monkeypatch, small, hot):
     assert len(plans) > 1 and all("Bucketed: true" in p or small or hot for p in plans)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_a_pass_writes_ids_and_no_rows(spark, monkeypatch, hot):
+    rng = random.Random(13)
+    rows = sorted({(int(rng.triangular(0, 40, 5)), int(rng.triangular(0, 40, 5))) for _ in range(2500)})
+    monkeypatch.setattr(sm, "SMALL", 0)
+    if hot:
+        monkeypatch.setattr(sm, "HOT", 40)
+        monkeypatch.setattr(sm, "HOT_ROWS", 3)
+    passes, write = [], sm.written_counted
+
+    def seen(df, name):
+        table, n = write(df, name)
+        passes.append((table, n))
+        return table, n
+
+    monkeypatch.setattr(sm, "written_counted", seen)
+    df = spark.createDataFrame([(u, i, 1.0) for u, i in rows], "unit long, itemid long, weight double")
+    got = {(r["unit"], r["itemid"]) for r in sm.co_support(df, 22, 25).collect()}
+    assert got == _peeled(rows, 22, 25, 10) and sum(n for _, n in passes) == len(rows) - len(got) > 300
+    tables = [[(r["unit"], r["itemid"]) for r in table.collect()] for table, _ in passes]
+    assert all(len(own) == len(set(own)) and all((u is None) != (i is None) for u, i in own) for own in tables)
+    side = sm._Side(df, "unit", len(rows))
+    assert {r["unit"]: r["n"] for r in side.counts.collect()} == Counter(u for u, _ in rows) and (side.hot is not None) == hot
+
+
+def test_filed_rows_are_counted_in_place(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id % 997 AS unit", "id AS itemid")
+    plan = sm._Side(df, "unit", 5000).counts._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+
+
 def test_diversity_without_pairs(spark):
     rng = random.Random(3)
     v = {i: {u: rng.uniform(1, 9) for u in rng.sample(range(20), 6)} for i in range(12)}

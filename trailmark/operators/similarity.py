@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from trailmark.config import Settings
 from trailmark.functions.weights import quantised, saturated, user_idf
 from trailmark.sources import tables
-from trailmark.sources.tables import bucketed, written, written_counted
+from trailmark.sources.tables import bucketed, written
+
+log = logging.getLogger(__name__)
 
 
 def interactions(log: DataFrame, unit: str = "visitorid") -> DataFrame:
@@ -28,14 +33,26 @@ def _near(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SMALL else df.hint("shuffle_hash")
 
 
+def _hot(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """key, n: the ids with more than one in HOT of ``total`` rows, and more than HOT_ROWS; None if there are none."""
+    if total <= HOT_ROWS:
+        return None
+    often = rows.stat.freqItems([key], 1 / HOT).select(F.explode(f"{key}_freqItems").alias(key))  # HOT at most; these are among them
+    counts = rows.join(F.broadcast(often), key).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot, n = tables.written_counted(counts.where((F.col("n") * HOT > total) & (F.col("n") > HOT_ROWS)), "hot")
+    return hot if n else None
+
+
 class _Side:
-    """Rows filed by one of their two ids, in buckets: a join by it moves the other side only.  Rows of hot ids stay where they are."""
+    """Rows filed by one of their two ids, in buckets: a join or a count by it moves none.  Rows of hot ids stay where they are."""
 
-    def __init__(self, rows: DataFrame, key: str, counts: DataFrame, total: int):
-        hot = written(counts.where((F.col("n") * HOT > total) & (F.col("n") > HOT_ROWS)).select(key), "hot")  # HOT at most
-        self.key, self.hot = key, hot if hot.count() else None
-        self.spread = rows.join(F.broadcast(hot), key, "left_semi") if self.hot is not None else None
-        self.filed = bucketed(rows if self.hot is None else rows.join(F.broadcast(hot), key, "left_anti"), key, "filed")
+    def __init__(self, rows: DataFrame, key: str, total: int):
+        counts = _hot(rows, key, total)
+        self.key, self.hot = key, None if counts is None else counts.select(key)
+        self.spread = None if self.hot is None else rows.join(F.broadcast(self.hot), key, "left_semi")
+        self.filed = bucketed(rows if self.hot is None else rows.join(F.broadcast(self.hot), key, "left_anti"), key, "filed")
+        own = self.filed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        self.counts = own if counts is None else own.unionByName(counts)
 
     def joined(self, ids: DataFrame, n: int, how: str) -> DataFrame:
         """The rows that have (left_semi) or lack (left_anti) one of n ``ids``."""
@@ -46,61 +63,78 @@ class _Side:
         return out.unionByName(self.spread.join(few, self.key, how))
 
 
+def written_counted(changes: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``changes`` of a pass as a table, and how many rows the pass drops: units tell, as a row has one."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    n = F.sum(F.when(F.col("of") == "unit", F.col("gone")))
+    table = written(changes.observe(seen, n.alias("n")), name)
+    return table, seen.get.get("n") or 0
+
+
 def co_support(rows: DataFrame, min_units: int, min_items: int, passes: int = 10) -> DataFrame:
     """Drops units with fewer than ``min_units`` items and items with fewer than ``min_items`` units until none is left.
 
-    Both counts of a pass are of the same rows.  Peeling by deltas: rows are filed once by unit and once by item.  A pass reads the
-    rows of what it drops from these, and only those rows move, each at most once for its unit and once for its item.  What
-    the next pass drops is sought among the units and items that lost rows in this one, whose counts are the first ones
-    less all that was lost.  Survivors are written once, at the end.
+    Both counts of a pass are of the same rows.  Peeling by counts: rows are filed once by unit and once by item.  As long as an
+    item is there, it loses rows by their units only, and each unit goes but once; so what a pass takes from the items that stay is
+    one count of the rows of the units that it drops, read where they are filed, and what it takes from units likewise.  A row
+    moves at most once for its unit and once for its item, as part of a count; a pass writes one row for each id that lost some.
+    Survivors are written once, at the end.
     """
-    rows = written(rows.select("unit", "itemid", "weight"), "interactions")
+    rows, total = tables.written_counted(rows.select("unit", "itemid", "weight"), "interactions")
     if min_units <= 1 and min_items <= 1:
         return rows
     least = {"unit": min_units, "itemid": min_items}
-    with ThreadPoolExecutor(2) as pool:  # both ids at the same time
+    names = ["of", *least, "rows", "left", "gone"]
 
-        def both(what):
-            return dict(zip(least, pool.map(what, least), strict=True))
-
-        counts = both(lambda c: written(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "counts"))
-        few = both(lambda c: tables.written_counted(counts[c].where(F.col("n") < least[c]).select(c), "few"))
-        if not any(n for _, n in few.values()):
-            return rows
-        total = rows.count()
-        by = both(lambda c: _Side(rows if c == "unit" else rows.drop("weight"), c, counts[c], total))
-        gone: dict[str, DataFrame] = {}  # what was dropped, and in which pass
-        n_gone = dict.fromkeys(least, 0)
-        lost: dict[str, DataFrame] = {}  # how many rows what remained after a pass lost in it, by unit and by item
-        for turn in range(passes):
-            if not any(n for _, n in few.values()):
-                break
-            for c, (own, n) in few.items():
-                own = own.withColumn("at", F.lit(turn))
-                gone[c] = gone[c].unionByName(own) if c in gone else own
-                n_gone[c] += n
-            of_units = by["unit"].joined(*few["unit"], "left_semi").select("unit", "itemid")
-            of_units = of_units.join(_near(gone["itemid"], n_gone["itemid"]), "itemid", "left").where(F.col("at").isNull() | (F.col("at") == turn))
-            of_units = of_units.select("unit", "itemid", F.lit(True).alias("by_unit"), F.col("at").isNotNull().alias("by_itemid"))
-            of_items = by["itemid"].joined(*few["itemid"], "left_semi").select("unit", "itemid")
-            of_items = of_items.join(_near(gone["unit"].select("unit"), n_gone["unit"]), "unit", "left_anti")
-            of_items = of_items.withColumns({"by_unit": F.lit(False), "by_itemid": F.lit(True)})
-            delta, n = written_counted(of_units.unionByName(of_items.select(*of_units.columns)), "dropped")
-            if not n or turn + 1 == passes:
-                break
-
-            def next_few(c: str, delta: DataFrame = delta, n: int = n, turn: int = turn) -> tuple[DataFrame, int]:
-                other = "itemid" if c == "unit" else "unit"
-                own = delta.where(F.col(f"by_{other}") & ~F.col(f"by_{c}")).groupBy(c).agg(F.count(F.lit(1)).alias("gone"))
-                own = written(own.withColumn("at", F.lit(turn)), "lost")
-                lost[c] = lost[c].unionByName(own) if c in lost else own
-                touched = lost[c].groupBy(c).agg(F.sum("gone").alias("gone"), F.max("at").alias("last")).where(F.col("last") == turn)
-                left = counts[c].join(_near(touched, n), c).where(F.col("n") - F.col("gone") < least[c])
-                return tables.written_counted(left.select(c), "few")
-
-            few = both(next_few)
-    kept = by["unit"].joined(gone["unit"].select("unit"), n_gone["unit"], "left_anti")
-    kept = kept.join(_near(gone["itemid"].select("itemid"), n_gone["itemid"]), "itemid", "left_anti")
+    def told(df: DataFrame, c: str) -> DataFrame:
+        """df (c, rows, left, gone) as rows of a table of changes."""
+        nulls = {k: F.lit(None).cast(rows.schema[k].dataType) for k in least if k != c}
+        return df.withColumns({"of": F.lit(c), **nulls}).select(*names)
+
+    def weak(c: str) -> Column:
+        return (F.col("of") == c) & (F.col("left") > 0) & (F.col("left") < least[c])
+
+    def noted(changes: DataFrame, write: Callable) -> tuple[DataFrame, dict[str, int]]:
+        """Written, with the number of ids that the next pass drops and of all rows that these ever had."""
+        seen = Observation(f"weak-{uuid.uuid4().hex}")
+        numbers = [F.count(F.when(weak(c), 1)).alias(c) for c in least] + [F.sum(F.when(weak(c), F.col("rows"))).alias(f"{c}_rows") for c in least]
+        out = write(changes.observe(seen, *numbers))
+        return out, {k: v or 0 for k, v in seen.get.items()}
+
+    with ThreadPoolExecutor(2) as pool:  # both ids at the same time
+        by = dict(zip(least, pool.map(lambda c: _Side(rows if c == "unit" else rows.drop("weight"), c, total), least), strict=True))
+    first = [told(by[c].counts.select(c, F.col("n").alias("rows"), F.col("n").alias("left"), F.lit(0).cast("long").alias("gone")), c) for c in least]
+    table, n = noted(first[0].unionByName(first[1]), lambda df: written(df, "counts"))
+    if not any(n[c] for c in least):
+        return rows
+    known = table  # what each id has left after the passes that took rows of it
+    gone: dict[str, DataFrame] = {}
+    n_gone = dict.fromkeys(least, 0)
+    for turn in range(passes):
+        few = {c: table.where(weak(c)).select(c, "rows", "left") for c in least}
+        for c, own in few.items():
+            gone[c] = gone[c].unionByName(own.select(c)) if c in gone else own.select(c)
+            n_gone[c] += n[c]
+
+        def lessened(c: str) -> DataFrame:
+            """The ids that stay and lose rows in this pass."""
+            other = "itemid" if c == "unit" else "unit"
+            lost = by[other].joined(few[other].select(other), n[other], "left_semi").groupBy(c).agg(F.count(F.lit(1)).alias("gone"))
+            both = known.where(F.col("of") == c).select(c, "rows", "left").join(_near(lost, n[f"{other}_rows"]), c)
+            both = both.groupBy(c).agg(F.min("left").alias("left"), F.first("rows").alias("rows"), F.first("gone").alias("gone"))
+            return told(both.where(F.col("left") >= least[c]).withColumn("left", F.col("left") - F.col("gone")), c)
+
+        changes = told(few["unit"].withColumns({"gone": F.col("left"), "left": F.lit(0).cast("long")}), "unit")
+        for c, other in (("itemid", "unit"), ("unit", "itemid")):
+            if n[other]:
+                changes = changes.unionByName(lessened(c))
+        (table, dropped), n = noted(changes, lambda df: written_counted(df, "dropped"))
+        log.info("pass %d drops %d rows", turn + 1, dropped)
+        if not any(n[c] for c in least):
+            break
+        known = known.unionByName(table)
+    kept = by["unit"].joined(gone["unit"], n_gone["unit"], "left_anti")
+    kept = kept.join(_near(gone["itemid"], n_gone["itemid"]), "itemid", "left_anti")
     return written(kept.select("unit", "itemid", "weight"), "supported")
 
 

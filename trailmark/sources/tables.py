@@ -64,11 +64,11 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``written``, in as many buckets of ``key`` as a shuffle has partitions, one file each: joins by ``key`` leave it in place."""
+    """``written``, in as many buckets of ``key`` as a shuffle has partitions, one sorted file each: joins by ``key`` leave it in place."""
     spark = df.sparkSession
     path, table = new_path(spark, name), f"trailmark_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(table)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
     at_the_end(lambda: spark.sql(f"DROP TABLE IF EXISTS {table}"))  # the files go with their path
     return spark.table(table)
 
